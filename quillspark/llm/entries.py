@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.exact_dedup import exact_duplicates
 from quillspark.llm.packing import pack
+from quillspark.llm.quality import judge_quality
+from quillspark.llm.simhash import near_duplicates
 from quillspark.llm.sp_bpe import round_trip
 from quillspark.llm.token_counts import count_tokens
 from quillspark.llm.token_files import read_token_files, write_token_files
@@ -39,6 +41,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_docs(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_docs(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), 2048, 1)
 
@@ -55,11 +61,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(_docs(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filters, op4_packing, op5_byte_level_bpe, op6_token_files, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_simhash, op4_packing, op5_byte_level_bpe, op6_token_files, op7_quality_rules, op10_exact_dedup)}
 
 _RULE_VALUES = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
 ORACLE_SQL = {
