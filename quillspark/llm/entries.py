@@ -11,6 +11,8 @@ from quillspark.llm.packing import pack
 from quillspark.llm.quality import judge_quality
 from quillspark.llm.simhash import near_duplicates
 from quillspark.llm.sp_bpe import round_trip
+from quillspark.llm.substring_dedup import remove_repeated_words
+from quillspark.llm.suffix_dedup import remove_repeated_bytes
 from quillspark.llm.token_counts import count_tokens
 from quillspark.llm.token_files import read_token_files, write_token_files
 from quillspark.llm.url_filter import prefix_rule, judge_urls, word_rule
@@ -65,11 +67,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(_docs(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_words(_docs(spark, sf_dir))
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(_docs(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_simhash, op4_packing, op5_byte_level_bpe, op6_token_files, op7_quality_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_simhash, op4_packing, op5_byte_level_bpe, op6_token_files, op7_quality_rules, op8_substring_dedup, op9_suffix_array_dedup, op10_exact_dedup)}
 
 _RULE_VALUES = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
 ORACLE_SQL = {
