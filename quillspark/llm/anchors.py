@@ -358,10 +358,14 @@ def _match(w: Windows, buckets: int, by_order: bool, decide: Callable[[list[tupl
     return run
 
 
-def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(dk, variant, text): what names a row in the flow. variant tells apart texts that share a key."""
+def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """(dk, variant, text): what names a row in the flow. variant tells apart texts that share a key.
+
+    carry: also `row`, the columns of docs but for an empty text, so that the joins of the flow share one shuffle of the rows.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("dk"), F.hash(t).alias("variant"), t.alias("text"))
+    own = [F.struct(*[F.col(c) if c != text else F.when(F.col(c).isNotNull(), F.lit("")).alias(c) for c in docs.columns]).alias("row")]
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("dk"), F.hash(t).alias("variant"), t.alias("text"), *own[: int(carry)])
 
 
 def repeated_spans(rows: DataFrame, w: Windows, decide, by_order: bool) -> DataFrame:
@@ -369,7 +373,7 @@ def repeated_spans(rows: DataFrame, w: Windows, decide, by_order: bool) -> DataF
     buckets = 4 * max(16, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     deal = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
     gather = lambda df: df.groupBy("dk", "variant").agg(F.collect_list("blob").alias("blobs"))
-    asked = gather(deal(rows.mapInArrow(_ask(w, buckets), _DEALT)).mapInArrow(_answer(buckets), _FOUND))
+    asked = gather(deal(rows.select("dk", "variant", "text").mapInArrow(_ask(w, buckets), _DEALT)).mapInArrow(_answer(buckets), _FOUND))
     with_text = rows.join(asked.hint("shuffle_hash"), ["dk", "variant"])
     sent = with_text.mapInArrow(_fetch(w, buckets, by_order), _DEALT)
     return gather(deal(sent).mapInArrow(_match(w, buckets, by_order, decide), _FOUND))

@@ -176,3 +176,9 @@ def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", by:
     judged = grouped.join(_with_bound(estimates, n), "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
+
+
+def keep_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source"), least: int = LEAST_GROUP) -> DataFrame:
+    """The rows of docs that judge_quality keeps, with all their columns; keys are unique, as in `documents`."""
+    kept = judge_quality(docs, key, text, by, least).where("kept").select(F.col("doc_id").alias("__kept"))
+    return docs.join(kept, docs[key].cast("long").eqNullSafe(kept["__kept"]), "left_semi")

@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from quillspark.llm.anchors import Windows, covered, key_column, keyed, repeated_spans, with_spans
 
@@ -208,7 +208,7 @@ def _cut(rows):
         for text, blobs in zip(batch.column("text"), batch.column("blobs").to_pylist()):
             b = bytes(memoryview(text.as_buffer()))
             texts.append(cut_words(b, covered(blobs, len(b.split()))) if blobs else b)
-        yield pa.RecordBatch.from_arrays([batch.column("dk"), batch.column("variant"), pa.array(texts, pa.binary()).cast(pa.string())], names=["dk", "variant", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([x is not None for x in batch.column("blobs").to_pylist()])], names=["row", "text", "changed"])
 
 
 def repeated_word_spans(docs: DataFrame, threshold: int = 13, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -230,10 +230,11 @@ def remove_repeated_words(docs: DataFrame, threshold: int = 13, key: str = "doc_
 
 
 def drop_repeated_words(docs: DataFrame, threshold: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with those words cut out of the text; everything else stays as it is, other columns too."""
-    rows, spans = repeated_word_spans(docs, threshold, key, text)
-    changed = rows.join(spans.hint("shuffle_hash"), ["dk", "variant"]).dropDuplicates(["dk", "variant"]).mapInArrow(_cut, "dk long, variant int, text string").withColumnRenamed("text", "__text")
-    t = F.coalesce(F.col(text), F.lit(""))
-    named = docs.withColumns({"dk": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), "variant": F.hash(t)})
-    joined = named.join(changed, ["dk", "variant"], "left").withColumn(text, F.when(F.col("__text").isNotNull(), F.col("__text")).otherwise(F.col(text)))
-    return joined.select(*docs.columns)
+    """docs with those words cut out of the text, each with the white space after it; other columns and null texts stay."""
+    rows = keyed(docs, key, text, carry=True)
+    spans = repeated_spans(rows, word_windows(threshold), _decide, by_order=True)
+    joined = with_spans(rows, spans)
+    schema = T.StructType([T.StructField("row", joined.schema["row"].dataType), T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())])
+    out = joined.select("row", "text", "blobs").mapInArrow(_cut, schema)
+    value = F.when(F.col("row")[text].isNotNull(), F.col("text")).alias(text)
+    return out.select(*[F.col("row")[c].alias(c) if c != text else value for c in docs.columns])
