@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -151,9 +152,15 @@ class FMIndex:
 
 
 def _decide(items, w: Windows):
-    """Windows that also start in a smaller document than the one which waits."""
-    if not items:
+    """Windows that also start in a smaller document than the one which waits.
+
+    Equal contents are settled before. A content that is alone under its anchor then shares no window, so it is neither indexed nor streamed.
+    """
+    several = Counter(c.anchor for _, c in items)
+    places = [i for i, (_, c) in enumerate(items) if several[c.anchor] > 1]
+    if not places:
         return
+    items = [items[i] for i in places]
     ids: dict[bytes, int] = {}
     number = lambda x: ids.setdefault(x, len(ids) + 1)
     texts = [list(map(number, x.split(b" "))) for x, _ in items]
@@ -172,7 +179,7 @@ def _decide(items, w: Windows):
         if c.refs:
             mask = least[group[starts[i] : starts[i] + c.n]] < c.low
             if mask.any():
-                yield i, mask
+                yield places[i], mask
 
 
 def _digest(rows):
