@@ -29,7 +29,7 @@ _POS = np.uint64((1 << 22) - 1)
 #: Tokens handled at once; longer documents are cut into overlapping blocks.
 CHUNK = 1 << 18
 #: Segments that a task gathers before it sends them.
-BATCH = 400_000
+BATCH = 250_000
 NO_KEY = -(1 << 63)  # stands for a null key
 
 _DEALT = "bucket int, dk long, variant int, blob binary"
@@ -220,7 +220,7 @@ def _answer(buckets: int):
     return run
 
 
-@dataclass
+@dataclass(slots=True)
 class Content:
     """A distinct segment in a bucket: its least document, how often it occurs, and who waits for an answer."""
 
@@ -320,8 +320,8 @@ def _fetch(w: Windows, buckets: int, by_order: bool):
                 for anchor, start, n in sorted({x for b in blobs for x in np.frombuffer(b, _SEG).tolist()}):
                     x = take(start, start + n + w.threshold - 1)
                     merge(contents, x, Content(anchor, n, low, 1, [(dk, variant, start)]), settle, by_order)
-                    size += len(x) + 200
-                if size > 48 << 20 or spans.size > 1_000_000:
+                    size += len(x) + 500  # with its objects
+                if size > 32 << 20 or spans.size > 300_000:
                     yield send(contents, spans)
                     contents, size = {}, 0
                     spans.__init__()

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from quillspark.llm.tokenizer import batches, encoder
+from quillspark.llm.tokenizer import encoder
+from quillspark.llm.worker import text_slices
 from quillspark.workspace import materialize
 
 #: Partition offsets are broadcast up to this many partitions (about 32 MB); beyond it they are joined by a shuffle.
@@ -30,14 +31,12 @@ def _encode_partition(path: str, end_id: int):
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in rows:
-            keys = batch.column(0).to_pylist()
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for s in batches(texts):
-                ids = [x + end for x in enc.encode_many(texts[s])]
+            for s in text_slices(batch):
+                ids = [x + end for x in enc.encode_many([x or "" for x in s.column(1).to_pylist()])]
                 n = [len(x) // 4 for x in ids]
                 starts = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(n), pa.int32()), pa.array(keys[s], pa.int64()), pa.array(at + starts[:-1]), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+                    [pa.array([part] * len(n), pa.int32()), s.column(0), pa.array(at + starts[:-1]), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
                     names=[f.name for f in _ENCODED],
                 )
                 at += int(starts[-1])

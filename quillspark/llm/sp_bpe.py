@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.tokenizer import PieceCache, batches, cut
+from quillspark.llm.tokenizer import PieceCache, cut
+from quillspark.llm.worker import resident, text_slices
 
 _BPE, _UNKNOWN = 2, 2  # TrainerSpec.ModelType.BPE, SentencePiece.Type.UNKNOWN
 
@@ -79,7 +80,7 @@ class BytePairCodec:
         self.to_chars = dict(enumerate(byte_chars()))
         back = {c: b for b, c in enumerate(byte_chars())}
         self.inverse = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(tokens))]
-        self.first, self.rest = PieceCache(self._encode, 50_000), PieceCache(self._encode)
+        self.first, self.rest = PieceCache(self._encode, 15_000), PieceCache(self._encode)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         words = [self.split(p) for p in pieces]
@@ -97,10 +98,9 @@ class BytePairCodec:
         return b"".join(map(self.inverse.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@functools.cache
 def codec(ranks_path: str, pattern: str) -> BytePairCodec:
     """One codec for each Python worker."""
-    return BytePairCodec(ranks_path, pattern)
+    return resident(("codec", ranks_path, pattern), lambda: BytePairCodec(ranks_path, pattern))
 
 
 def _digest_partition(ranks_path: str, pattern: str):
@@ -108,11 +108,10 @@ def _digest_partition(ranks_path: str, pattern: str):
         bpe = codec(ranks_path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in rows:
-            keys, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for s in batches(texts):
-                ids = bpe.encode_many(texts[s])
+            for s in text_slices(batch):
+                ids = bpe.encode_many([x or "" for x in s.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[s], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(bpe.decode(x)) for x in ids])],
+                    [s.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(bpe.decode(x)) for x in ids])],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from quillspark.llm.anchors import Windows, covered, key_column, keyed, repeated_spans, with_spans
+from quillspark.llm.worker import resident
 
 DEPTH = 16
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -29,22 +30,19 @@ class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
-_hash = _WordHash()
-
-
 def _words(text) -> list[bytes]:
     return bytes(text).split()  # at ASCII white space: space and \x09-\x0D
 
 
 def _tokens(text) -> np.ndarray:
     words = _words(text)
-    return np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(resident(("words",), _WordHash).__getitem__, words), np.uint64, len(words))
 
 
 def _contents(text):

@@ -11,13 +11,12 @@ Counts therefore add up to the document's token count, which counting sections o
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.tokenizer import PieceCache, batches, cut
+from quillspark.llm.tokenizer import JoinedEncoder, PieceCache, cut
+from quillspark.llm.worker import resident, text_slices
 
 RULES = ("first", "last", "most")
 _OUT = "doc_id long, section int, char_start long, char_end long, n_tokens long, n_crossing long, doc_tokens long"
@@ -27,25 +26,25 @@ class SpanEncoder:
     """Character spans of the tokens of whole texts."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        vocabulary = self.tok.get_vocab()
-        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.n_bytes[i] = len(token)  # a byte-level token has a character per byte
-        self.first, self.rest = PieceCache(self._spans, 50_000), PieceCache(self._spans, 300_000)
+        self.joined = JoinedEncoder(path)
+        self.rest = PieceCache(lambda x: self._spans(x, False), 90_000)
+        self.first = PieceCache(lambda x: self._spans(x, True), 15_000)
 
-    def _spans(self, pieces: list[str]) -> list[bytes]:
+    def _spans(self, pieces: list[str], apart: bool) -> list[bytes]:
+        """Spans of each piece's tokens, from the piece's first character."""
         out = []
-        for p, e in zip(pieces, self.tok.encode_batch(pieces, add_special_tokens=False)):
-            ends = np.cumsum(self.n_bytes[e.ids]) if e.ids else np.zeros(0, np.int64)
+        for raw, _, ends, stops in self.joined.groups(pieces, apart):
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-            if not p.isascii():
-                char = np.cumsum((np.frombuffer(p.encode(), np.uint8) & 0xC0) != 0x80) - 1  # of each byte
-                starts, ends = char[starts], char[ends - 1] + 1
-            out.append(np.stack([starts, ends], axis=1).astype("<i4").tobytes())
+            last = np.searchsorted(ends, stops, side="right")
+            begin = np.concatenate([[0], stops[:-1]])
+            if not raw.isascii():
+                char = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1  # of each byte
+                starts, ends, begin = char[starts], char[ends - 1] + 1, char[np.minimum(begin, len(raw) - 1)]
+            home = np.repeat(begin, np.diff(np.concatenate([[0], last])))
+            spans, at = np.stack([starts - home, ends - home], axis=1).astype("<i4").tobytes(), 0
+            for end in (8 * last).tolist():
+                out.append(spans[at:end])
+                at = end
         return out
 
     def spans_many(self, texts: list[str]) -> list[np.ndarray]:
@@ -63,9 +62,8 @@ class SpanEncoder:
         return out
 
 
-@functools.cache
 def span_encoder(path: str) -> SpanEncoder:
-    return SpanEncoder(path)
+    return resident(("spans", path), lambda: SpanEncoder(path))
 
 
 def line_starts(text: str) -> np.ndarray:
@@ -94,13 +92,12 @@ def _count_partition(path: str, rule: str):
     def run(rows):
         enc = span_encoder(path)
         for batch in rows:
-            keys, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            given = batch.column(2).to_pylist() if batch.num_columns > 2 else None
-            for s in batches(texts):
+            for s in text_slices(batch):
                 cols: list[list] = [[] for _ in range(6)]
                 ids: list = []
-                own = given[s] if given is not None else [None] * len(texts[s])
-                for k, t, spans, sec in zip(keys[s], texts[s], enc.spans_many(texts[s]), own):
+                texts = [x or "" for x in s.column(1).to_pylist()]
+                own = s.column(2).to_pylist() if s.num_columns > 2 else [None] * len(texts)
+                for k, t, spans, sec in zip(s.column(0).to_pylist(), texts, enc.spans_many(texts), own):
                     starts = line_starts(t) if sec is None else np.array(sorted({0, *(x for x in sec if 0 <= x < max(1, len(t)))}), np.int64)
                     counts, crossing = allocate(spans, starts, len(t), rule)
                     n = len(starts)

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from quillspark.llm.tokenizer import batches, encoder
+from quillspark.llm.tokenizer import encoder
+from quillspark.llm.worker import text_slices
 
 BLOCK = 256
 MAGIC = b"PFR1"
@@ -155,9 +156,8 @@ def _write_partition(path: str, end_id: int, share: float):
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([place], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([encode_image(keys, lengths, ids, place, share)], pa.binary())], names=IMAGES.names)
 
         for batch in rows:
-            ks, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for s in batches(texts):
-                for k, ids in zip(ks[s], enc.encode_many(texts[s])):
+            for s in text_slices(batch):
+                for k, ids in zip(s.column(0).to_pylist(), enc.encode_many([x or "" for x in s.column(1).to_pylist()])):
                     keys.append(k)
                     parts.append(ids + end)
                     held += len(ids) // 4 + 1

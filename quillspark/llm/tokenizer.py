@@ -8,16 +8,18 @@ encoded whole in this way, each distinct piece once as long as it stays in the c
 
 from __future__ import annotations
 
-import functools
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
+from quillspark.llm.worker import resident
+
 _CUT = re.compile(r" (?=\S)")
 #: A space that is not a cut. re's \s holds all that the tokenizers call white space, so what is cut is always safe.
 _NO_CUT = re.compile(r" (?:\s|\Z)")
-CACHE_PIECES = 400_000
+#: Pieces in either half of a cache.
+CACHE_PIECES = 120_000
 
 
 def cut(text: str) -> list[str]:
@@ -26,37 +28,76 @@ def cut(text: str) -> list[str]:
 
 
 class PieceCache:
-    """Encoded pieces by their text; `encode` turns a list of new pieces into values. Emptied when it is full."""
+    """Encoded pieces by their text; `encode` turns a list of new pieces into values.
+
+    Two generations: a full one becomes the old one, from which pieces that are met again come back; the rest is forgotten.
+    """
 
     def __init__(self, encode: Callable[[list[str]], Iterable], size: int = CACHE_PIECES):
-        self.encode, self.size, self.known = encode, size, {}
+        self.encode, self.size, self.known, self.old = encode, size, {}, {}
 
     def table(self, pieces: list[list[str]], prefix: str) -> dict:
         """A mapping that holds at least these pieces; prefix: what each of them starts with besides."""
-        known = self.known
-        new = set().union(*pieces).difference(known) if pieces else set()
-        if len(known) + len(new) > self.size:
-            known.clear()
-            new = set().union(*pieces)
-        ordered = list(new)
+        wanted = set().union(*pieces)
+        new = wanted.difference(self.known)
+        if len(self.known) + len(new) > self.size and self.known:
+            self.old, self.known, new = self.known, {}, wanted
+        back = new.intersection(self.old)
+        self.known.update({x: self.old[x] for x in back})
+        ordered = list(new.difference(back))
         for at in range(0, len(ordered), 4096):
             part = ordered[at : at + 4096]
-            known.update(zip(part, self.encode([prefix + x for x in part])))
-        return known
+            self.known.update(zip(part, self.encode([prefix + x for x in part])))
+        return self.known
 
 
-class Encoder:
-    """ids (little-endian unsigned 32-bit) of whole texts by a tokenizers JSON file, without special tokens."""
+class JoinedEncoder:
+    """Tokens of many pieces, encoded as texts of GROUP pieces in a row where those may be put together."""
+
+    GROUP = 100
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.rest, self.first = PieceCache(self._ids), PieceCache(self._ids, CACHE_PIECES // 8)
+        vocabulary = self.tok.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)  # a byte-level token has a character per byte
+
+    def groups(self, pieces: list[str], apart: bool) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bytes of a group, its ids, ends of its tokens, ends of its pieces), ends in bytes. apart: each piece alone.
+
+        Pieces that begin with a space and go on with something else may be put together: a cut is allowed before each.
+        """
+        size = 1 if apart else self.GROUP
+        for at in range(0, len(pieces), size):
+            part = pieces[at : at + size]
+            text = "".join(part)
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(self.n_bytes[ids]) if len(ids) else np.zeros(0, np.int64)
+            raw = text.encode()
+            sizes = [len(x) for x in part] if len(raw) == len(text) else [len(x.encode()) for x in part]
+            yield raw, ids, ends, np.cumsum(sizes)
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(pieces, add_special_tokens=False)]
+
+class Encoder:
+    """ids (little-endian unsigned 32-bit) of whole texts by a tokenizers JSON file, without special tokens."""
+
+    def __init__(self, path: str):
+        self.joined = JoinedEncoder(path)
+        self.rest = PieceCache(lambda x: self._ids(x, False))
+        self.first = PieceCache(lambda x: self._ids(x, True), CACHE_PIECES // 8)
+
+    def _ids(self, pieces: list[str], apart: bool) -> list[bytes]:
+        out = []
+        for _, ids, ends, stops in self.joined.groups(pieces, apart):
+            raw, at = ids.tobytes(), 0
+            for end in (4 * np.searchsorted(ends, stops, side="right")).tolist():
+                out.append(raw[at:end])
+                at = end
+        return out
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         cuts = [cut(t) for t in texts]
@@ -65,19 +106,6 @@ class Encoder:
         return [first[c[0]] + b"".join(map(rest.__getitem__, c[1:])) for c in cuts]
 
 
-@functools.cache
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker, kept from task to task."""
-    return Encoder(path)
-
-
-def batches(texts: list[str], most_chars: int = 4_000_000) -> Iterable[slice]:
-    """Slices of texts of at most so many characters together, or of one text."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        if i > start and total + len(t) > most_chars:
-            yield slice(start, i)
-            start, total = i, 0
-        total += len(t)
-    if start < len(texts):
-        yield slice(start, len(texts))
+    return resident(("encoder", path), lambda: Encoder(path))
