@@ -83,9 +83,7 @@ def split_into_blocks(text: Column | str) -> Column:
 
 def baseline_margin(lines: DataFrame, key: list[str], order: list[str], x0: str = "x0") -> DataFrame:
     """key, margin: the least rounded margin that occurs twice, else the first line's. Rounds half to even."""
-    first = F.min_by(F.bround(F.col(x0)), F.struct(*order)).alias("first")
     counts = lines.groupBy(*key, F.bround(F.col(x0)).alias("m")).agg(F.count("*").alias("n"), F.min_by(F.bround(F.col(x0)), F.struct(*order)).alias("f"), F.min(F.struct(*order)).alias("o"))
-    del first
     return counts.groupBy(*key).agg(F.coalesce(F.min(F.when(F.col("n") >= 2, F.col("m"))), F.min_by("f", "o")).alias("margin"))
 
 
