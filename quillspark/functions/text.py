@@ -72,5 +72,5 @@ def to_re2(pattern: str) -> str:
     """The pattern in the syntax that DuckDB's engine shares, for oracles: explicit word classes and boundaries."""
     word = r"\p{L}\p{N}_"
     p = pattern.replace(r"\w", f"[{word}]")
-    p = re.sub(r"^\\b", f"(?:^|[^{word}])", p)
-    return re.sub(r"\\b$", f"(?:$|[^{word}])", p)
+    p = re.sub(r"^\\b", lambda m: f"(?:^|[^{word}])", p)
+    return re.sub(r"\\b$", lambda m: f"(?:$|[^{word}])", p)
