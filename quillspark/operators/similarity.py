@@ -13,15 +13,11 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(col(text)), r"[^\p{L}\p{N}_]+", -1), lambda t: F.rlike(t, F.lit(r"^\p{L}{4,}$")))
 
 
-def terms(text: Column | str) -> Column:
-    """Words and pairs of neighbours among them."""
-    t = tokens(text)
-    pairs = F.transform(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(t, i + 1)))
-    return F.concat(t, pairs)
-
-
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(key).alias("id"), F.explode(terms(text)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf): words and pairs of neighbours among them. Tokens are a column of their own, made once per row."""
+    rows = docs.select(F.col(key).alias("id"), tokens(text).alias("t"))
+    pairs = F.transform(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get("t", i + 1)))
+    return rows.select("id", F.explode(F.concat("t", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(counts: DataFrame, n_docs: Column | int, min_df: int = 2, max_df: float = 0.15) -> DataFrame:
