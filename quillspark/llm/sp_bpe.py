@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.tokenizer import PieceCache, cut
+from quillspark.llm.tokenizer import PieceCache, piece_values
 from quillspark.llm.worker import resident, text_slices
 
 _BPE, _UNKNOWN = 2, 2  # TrainerSpec.ModelType.BPE, SentencePiece.Type.UNKNOWN
@@ -89,10 +89,7 @@ class BytePairCodec:
         return [np.array([i for _ in ws for i in next(ids)], "<u4").tobytes() for ws in words]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        cuts = [cut(t) for t in texts]
-        first = self.first.table([[c[0]] for c in cuts], "")
-        rest = self.rest.table([c[1:] for c in cuts], " ")
-        return [first[c[0]] + b"".join(map(rest.__getitem__, c[1:])) for c in cuts]
+        return [b"".join(x) for x in piece_values(texts, self.first, self.rest)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.inverse.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.tokenizer import JoinedEncoder, PieceCache, cut
+from quillspark.llm.tokenizer import JoinedEncoder, PieceCache, cut, piece_values
 from quillspark.llm.worker import resident, text_slices
 
 RULES = ("first", "last", "most")
@@ -27,7 +27,7 @@ class SpanEncoder:
 
     def __init__(self, path: str):
         self.joined = JoinedEncoder(path)
-        self.rest = PieceCache(lambda x: self._spans(x, False), 90_000)
+        self.rest = PieceCache(lambda x: self._spans(x, False), 200_000)
         self.first = PieceCache(lambda x: self._spans(x, True), 15_000)
 
     def _spans(self, pieces: list[str], apart: bool) -> list[bytes]:
@@ -49,11 +49,8 @@ class SpanEncoder:
 
     def spans_many(self, texts: list[str]) -> list[np.ndarray]:
         cuts = [cut(t) for t in texts]
-        first = self.first.table([[c[0]] for c in cuts], "")
-        rest = self.rest.table([c[1:] for c in cuts], " ")
         out = []
-        for c in cuts:
-            found = [first[c[0]], *map(rest.__getitem__, c[1:])]
+        for c, found in zip(cuts, piece_values(texts, self.first, self.rest, cuts)):
             size = np.fromiter(map(len, c), np.int64, len(c))
             size[1:] += 1  # the space
             spans = np.frombuffer(b"".join(found), "<i4").reshape(-1, 2).astype(np.int64)

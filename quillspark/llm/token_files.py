@@ -1,13 +1,14 @@
 """Token ids on disk: patched frame-of-reference blocks.
 
 A segment image holds the ids of consecutive documents: a header, the documents' lengths, an index of block starts, and
-blocks of 256 ids. A block subtracts its minimum, packs the differences at the width that a given share of them fits, and
-stores the high bits of the others in an exception list (positions and high parts), so one rare id does not widen the rest.
+blocks of 1024 ids. A block subtracts its minimum, packs the differences at the width that a given share of them fits, and
+stores the high bits of the others in an exception list (positions and high parts), so one rare id does not widen the rest. Widths are even,
+so that four values make whole bytes.
 
 Layout of an image, little-endian:
   magic 'PFR1' | u32 docs | u64 ids | u32 blocks | i64 first id's place in its partition
   i64 doc keys [docs] | u8 key is null [docs] | u32 doc lengths [docs] | u64 block starts [blocks] | blocks
-  block: u32 minimum | u8 width | u8 exception width | u16 exceptions | u16 ids | packed low bits | u8 positions | packed high bits
+  block: u32 minimum | u16 width | u16 exceptions | u16 ids | packed low bits | u16 positions | u32 high parts
 Images are rows of a table (part, seq, first_place, n_ids, image), since only Spark's writers reach every store and commit
 a task's output once; an image is a file of its own to anything that reads it.
 """
@@ -25,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from quillspark.llm.tokenizer import encoder
 from quillspark.llm.worker import text_slices
 
-BLOCK = 256
+BLOCK = 1024
 MAGIC = b"PFR1"
 _HEAD = struct.Struct("<4sIQIq")
-_BLOCK = struct.Struct("<IBBHH")
+_BLOCK = struct.Struct("<IHHH")
 #: An image is written once it holds this many ids; a longer document has an image to itself.
 IMAGE_IDS = 1 << 20
 
@@ -36,22 +37,40 @@ IMAGES = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType()
 
 
 def _pack_rows(v: np.ndarray, width: int) -> np.ndarray:
-    """Rows of unsigned values, each row packed at width bits, most significant first, rows padded to bytes."""
+    """Rows of values below 2**width, width even and 16 at most or 32: four values make width/2 bytes; rows are padded to fours."""
     if width == 0:
         return np.zeros((len(v), 0), np.uint8)
-    bits = (v[:, :, None] >> np.arange(width - 1, -1, -1, dtype=np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(len(v), -1), axis=1)
+    v = np.pad(v, ((0, 0), (0, -v.shape[1] % 4)))
+    if width > 16:
+        return v.astype("<u4").view(np.uint8)
+    q = v.reshape(len(v), -1, 4).astype(np.uint64)
+    acc = q[:, :, 0]
+    for i in (1, 2, 3):
+        acc = acc | q[:, :, i] << np.uint64(i * width)
+    return np.ascontiguousarray(acc.astype("<u8").view(np.uint8).reshape(len(v), -1, 8)[:, :, : width // 2]).reshape(len(v), -1)
 
 
 def _unpack_rows(raw: np.ndarray, width: int, n: int) -> np.ndarray:
     if width == 0:
         return np.zeros((len(raw), n), np.uint32)
-    bits = np.unpackbits(raw, axis=1, count=n * width).reshape(len(raw), n, width)
-    return bits.astype(np.uint32) @ (1 << np.arange(width - 1, -1, -1, dtype=np.uint32))
+    if width > 16:
+        return np.ascontiguousarray(raw).view("<u4")[:, :n].copy()
+    acc = np.zeros((len(raw), -(-n // 4), 8), np.uint8)
+    acc[:, :, : width // 2] = raw.reshape(len(raw), -1, width // 2)
+    acc = acc.reshape(len(raw), -1).view("<u8")
+    out = np.empty((len(raw), acc.shape[1], 4), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for i in range(4):
+        out[:, :, i] = (acc >> np.uint64(i * width)) & mask
+    return out.reshape(len(raw), -1)[:, :n]
+
+
+def _row_bytes(n: int, width: int) -> int:
+    return -(-n // 4) * (16 if width > 16 else width // 2)
 
 
 def encode_blocks(ids: np.ndarray, share: float = 0.9) -> list[bytes]:
-    """Blocks of ids; the width of a block is the least that `share` of its differences fit."""
+    """Blocks of ids; the width of a block is the least (even; 32 above 16) that `share` of its differences fit."""
     out: list[bytes] = [b""] * -(-len(ids) // BLOCK)
     whole = len(ids) // BLOCK
     groups = [(np.arange(whole), ids[: whole * BLOCK].reshape(whole, BLOCK))] if whole else []
@@ -60,31 +79,30 @@ def encode_blocks(ids: np.ndarray, share: float = 0.9) -> list[bytes]:
     for at, rows in groups:
         base = rows.min(axis=1)
         diff = (rows - base[:, None]).astype(np.uint32)
-        need = np.ceil(np.log2(diff.astype(np.float64) + 1)).astype(np.int64)  # bits of each difference
-        widths = np.sort(need, axis=1)[:, min(rows.shape[1] - 1, int(np.ceil(share * rows.shape[1])) - 1)]
-        for w in np.unique(widths):
+        k = min(rows.shape[1] - 1, int(np.ceil(share * rows.shape[1])) - 1)
+        top = np.partition(diff, k, axis=1)[:, k]
+        widths = np.array([n + n % 2 if n <= 16 else 32 for n in map(int.bit_length, top.tolist())])
+        for w in np.unique(widths).tolist():
             mine = np.flatnonzero(widths == w)
             d = diff[mine]
-            low = _pack_rows(d & np.uint32((1 << int(w)) - 1), int(w))
-            high = d.astype(np.uint64) >> np.uint64(w)
-            for k, row in enumerate(mine):
-                pos = np.flatnonzero(high[k])
-                value = high[k][pos].astype(np.uint32)
-                xw = int(value.max()).bit_length() if len(pos) else 0
-                out[at[row]] = _BLOCK.pack(int(base[row]), int(w), xw, len(pos), rows.shape[1]) + low[k].tobytes() + pos.astype(np.uint8).tobytes() + _pack_rows(value[None, :], xw).tobytes()
+            low = _pack_rows(d & np.uint32((1 << w) - 1), w)
+            row, pos = np.nonzero(d >> np.uint32(w)) if w < 32 else (np.zeros(0, int), np.zeros(0, int))
+            high = (d[row, pos] >> np.uint32(min(w, 31))).astype("<u4")
+            cuts = np.searchsorted(row, np.arange(len(mine) + 1))
+            for i, b in enumerate(mine.tolist()):
+                s, e = cuts[i], cuts[i + 1]
+                out[at[b]] = _BLOCK.pack(int(base[b]), w, e - s, rows.shape[1]) + low[i].tobytes() + pos[s:e].astype("<u2").tobytes() + high[s:e].tobytes()
     return out
 
 
 def decode_block(buf: memoryview, at: int) -> np.ndarray:
-    base, width, xw, nx, n = _BLOCK.unpack_from(buf, at)
+    base, width, nx, n = _BLOCK.unpack_from(buf, at)
     at += _BLOCK.size
-    size = -(-n * width // 8)
-    v = _unpack_rows(np.frombuffer(buf, np.uint8, size, at)[None, :], width, n)[0]
+    size = _row_bytes(n, width)
+    v = _unpack_rows(np.frombuffer(buf, np.uint8, size, at)[None, :], width, n)[0].copy()
     at += size
     if nx:
-        pos = np.frombuffer(buf, np.uint8, nx, at)
-        high = _unpack_rows(np.frombuffer(buf, np.uint8, -(-nx * xw // 8), at + nx)[None, :], xw, nx)[0]
-        v[pos] |= high << np.uint32(width)
+        v[np.frombuffer(buf, "<u2", nx, at)] |= np.frombuffer(buf, "<u4", nx, at + 2 * nx) << np.uint32(width)
     return v + np.uint32(base)
 
 
@@ -125,21 +143,21 @@ class Image:
     def _all(self) -> np.ndarray:
         """All blocks, those of one width together."""
         raw = np.frombuffer(self.buf, np.uint8)
-        heads = np.lib.stride_tricks.sliding_window_view(raw, _BLOCK.size)[self.starts]
+        heads = np.lib.stride_tricks.sliding_window_view(raw, _BLOCK.size)[self.starts].copy()
         base = heads[:, :4].copy().view("<u4")[:, 0]
-        width, xw = heads[:, 4].astype(int), heads[:, 5].astype(int)
-        nx, n = heads[:, 6:8].copy().view("<u2")[:, 0].astype(int), heads[:, 8:10].copy().view("<u2")[:, 0].astype(int)
+        width, nx, n = (heads[:, i : i + 2].copy().view("<u2")[:, 0].astype(int) for i in (4, 6, 8))
         out = np.zeros((len(base), BLOCK), np.uint32)
         for w, m in {*zip(width.tolist(), n.tolist())}:
             mine = np.flatnonzero((width == w) & (n == m))
-            size = -(-m * w // 8)
-            packed = raw[(self.starts[mine] + _BLOCK.size)[:, None] + np.arange(size)]
-            out[mine, :m] = _unpack_rows(packed, w, m)
-        for b in np.flatnonzero(nx):
-            at = int(self.starts[b]) + _BLOCK.size + -(-int(n[b] * width[b]) // 8)
-            pos = raw[at : at + nx[b]]
-            high = _unpack_rows(raw[at + nx[b] : at + nx[b] + -(-int(nx[b] * xw[b]) // 8)][None, :], int(xw[b]), int(nx[b]))[0]
-            out[b, pos] |= high << np.uint32(width[b])
+            size = _row_bytes(m, w)
+            rows = np.empty((len(mine), size), np.uint8)
+            for i, b in enumerate(mine.tolist()):
+                s = int(self.starts[b]) + _BLOCK.size
+                rows[i] = raw[s : s + size]
+            out[mine, :m] = _unpack_rows(rows, w, m)
+        for b in np.flatnonzero(nx).tolist():
+            at, k = int(self.starts[b]) + _BLOCK.size + _row_bytes(int(n[b]), int(width[b])), int(nx[b])
+            out[b, np.frombuffer(self.buf, "<u2", k, at)] |= np.frombuffer(self.buf, "<u4", k, at + 2 * k) << np.uint32(width[b])
         return (out + base[:, None]).reshape(-1)[: self.n_ids]
 
 

@@ -19,7 +19,7 @@ _CUT = re.compile(r" (?=\S)")
 #: A space that is not a cut. re's \s holds all that the tokenizers call white space, so what is cut is always safe.
 _NO_CUT = re.compile(r" (?:\s|\Z)")
 #: Pieces in either half of a cache.
-CACHE_PIECES = 120_000
+CACHE_PIECES = 300_000
 
 
 def cut(text: str) -> list[str]:
@@ -36,19 +36,19 @@ class PieceCache:
     def __init__(self, encode: Callable[[list[str]], Iterable], size: int = CACHE_PIECES):
         self.encode, self.size, self.known, self.old = encode, size, {}, {}
 
-    def table(self, pieces: list[list[str]], prefix: str) -> dict:
-        """A mapping that holds at least these pieces; prefix: what each of them starts with besides."""
-        wanted = set().union(*pieces)
-        new = wanted.difference(self.known)
+    def values(self, pieces: list[str], prefix: str) -> list:
+        """The value of each piece; prefix: what each of them starts with besides."""
+        out = list(map(self.known.get, pieces))
+        if None not in out:
+            return out
+        new = dict.fromkeys(p for p, v in zip(pieces, out) if v is None)
         if len(self.known) + len(new) > self.size and self.known:
-            self.old, self.known, new = self.known, {}, wanted
-        back = new.intersection(self.old)
-        self.known.update({x: self.old[x] for x in back})
-        ordered = list(new.difference(back))
-        for at in range(0, len(ordered), 4096):
-            part = ordered[at : at + 4096]
-            self.known.update(zip(part, self.encode([prefix + x for x in part])))
-        return self.known
+            self.old, self.known, new = self.known, {}, dict.fromkeys(pieces)
+        back = {p: self.old[p] for p in new if p in self.old}
+        self.known.update(back)
+        ordered = [p for p in new if p not in back]
+        self.known.update(zip(ordered, self.encode([prefix + x for x in ordered])))
+        return list(map(self.known.__getitem__, pieces))
 
 
 class JoinedEncoder:
@@ -61,6 +61,7 @@ class JoinedEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.model._resize_cache(0)  # pieces are cached here
         vocabulary = self.tok.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -100,10 +101,18 @@ class Encoder:
         return out
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        cuts = [cut(t) for t in texts]
-        first = self.first.table([[c[0]] for c in cuts], "")
-        rest = self.rest.table([c[1:] for c in cuts], " ")
-        return [first[c[0]] + b"".join(map(rest.__getitem__, c[1:])) for c in cuts]
+        return [b"".join(x) for x in piece_values(texts, self.first, self.rest)]
+
+
+def piece_values(texts: list[str], first: PieceCache, rest: PieceCache, cuts: list[list[str]] | None = None) -> Iterator[list]:
+    """The values of the pieces of each text."""
+    cuts = cuts or [cut(t) for t in texts]
+    heads = first.values([c[0] for c in cuts], "")
+    tails = rest.values([x for c in cuts for x in c[1:]], " ")
+    at = 0
+    for head, c in zip(heads, cuts):
+        yield [head, *tails[at : at + len(c) - 1]]
+        at += len(c) - 1
 
 
 def encoder(path: str) -> Encoder:
