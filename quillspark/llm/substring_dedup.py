@@ -83,9 +83,11 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of a sequence of symbols from 1 on, with 0 between texts."""
+    """Index of a sequence of symbols from 1 on, with 0 before, between and after texts."""
 
     def __init__(self, seq: np.ndarray, threshold: int):
+        if not len(seq) or seq[0] or seq[-1]:
+            raise ValueError("the sequence must begin and end with 0")
         n, rank, step = len(seq), seq.astype(np.int64), 1
         while step < DEPTH:  # prefix doubling, through DEPTH symbols
             after = np.zeros(n, np.int64)
@@ -96,8 +98,8 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
             step *= 2
-        self.suffixes, self.symbols = order, int(seq.max()) + 1 if n else 1
-        self.wavelet = WaveletMatrix(seq[order - 1] if n else seq, self.symbols)
+        self.suffixes, self.symbols = order, int(seq.max()) + 1
+        self.wavelet = WaveletMatrix(seq[order - 1], self.symbols)
         c = np.bincount(seq, minlength=self.symbols)
         every = np.arange(self.symbols)
         self.offset = np.cumsum(c) - c - self.wavelet.walk(every, np.zeros(self.symbols, np.int64))

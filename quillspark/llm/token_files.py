@@ -136,7 +136,7 @@ class Image:
             return np.zeros(0, np.uint32)
         first, last = start // BLOCK, (stop - 1) // BLOCK
         if first == 0 and stop == self.n_ids:
-            return self._all()
+            return self._all()[start:stop]
         got = np.concatenate([decode_block(self.buf, int(self.starts[b])) for b in range(first, last + 1)])
         return got[start - first * BLOCK : stop - first * BLOCK]
 
