@@ -39,16 +39,20 @@ class PieceCache:
     def values(self, pieces: list[str], prefix: str) -> list:
         """The value of each piece; prefix: what each of them starts with besides."""
         out = list(map(self.known.get, pieces))
-        if None not in out:
+        missing = [i for i, v in enumerate(out) if v is None]
+        if not missing:
             return out
-        new = dict.fromkeys(p for p, v in zip(pieces, out) if v is None)
+        new = dict.fromkeys([pieces[i] for i in missing])
+        back = {p: v for p in new if (v := self.old.get(p)) is not None}
         if len(self.known) + len(new) > self.size and self.known:
-            self.old, self.known, new = self.known, {}, dict.fromkeys(pieces)
-        back = {p: self.old[p] for p in new if p in self.old}
-        self.known.update(back)
-        ordered = [p for p in new if p not in back]
-        self.known.update(zip(ordered, self.encode([prefix + x for x in ordered])))
-        return list(map(self.known.__getitem__, pieces))
+            self.old, self.known = self.known, {p: v for p, v in zip(pieces, out) if v is not None}
+        fresh = [p for p in new if p not in back] if back else list(new)
+        new.update(back)
+        new.update(zip(fresh, self.encode([prefix + p for p in fresh])))
+        self.known.update(new)
+        for i in missing:
+            out[i] = new[pieces[i]]
+        return out
 
 
 class JoinedEncoder:
