@@ -56,6 +56,15 @@ def pad_table(rows: Column | str) -> Column:
     return F.transform(r, lambda x: F.concat(x, F.array_repeat(F.lit(""), width - F.size(x))))
 
 
+def bullet_runs(found: DataFrame, key: list[str]) -> DataFrame:
+    """(key, block_no, items) of blocks(): bullets that follow one another are one list, under the number of its first."""
+    w = Window.partitionBy(*key).orderBy("block_no")
+    opens = F.coalesce(F.lag("type").over(w) != "bullet", F.lit(True))
+    runs = found.withColumn("__run", F.sum(F.when((F.col("type") == "bullet") & ~opens, 0).otherwise(1)).over(w)).where("type = 'bullet'")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"])
+    return runs.groupBy(*key, "__run").agg(F.min("block_no").alias("block_no"), items.alias("items")).drop("__run")
+
+
 def localised_date(iso: Column | str) -> Column:
     """'D month YYYY р.'; anything shorter than a date as it is."""
     x = F.coalesce(col(iso), F.lit(""))
@@ -71,6 +80,18 @@ def real_people(people: Column | str) -> Column:
     return F.filter(col(people), lambda p: (F.coalesce(p["position"], F.lit("")) != "") | (F.coalesce(p["name"], F.lit("")) != ""))
 
 
+def saved_form(doc_code, issue, changes, official_title, approver, council_approval, developers, agreed) -> Column:
+    """The print form as it is saved: empty texts, empty lists and an approver without a name are null."""
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    people = lambda c: F.when(F.size(real_people(c)) > 0, real_people(c))
+    number = lambda c, default: F.coalesce(F.nullif(F.trim(c), F.lit("")).try_cast("int"), F.lit(default))
+    named = F.when(F.coalesce(F.trim(col(approver)["name"]), F.lit("")) != "", col(approver))
+    return F.struct(
+        text(doc_code).alias("doc_code"), number(issue, 1).alias("issue"), number(changes, 0).alias("changes"), text(official_title).alias("official_title"),
+        named.alias("approver"), text(council_approval).alias("council_approval"), people(developers).alias("developers"), people(agreed).alias("agreed"),
+    )
+
+
 def page_header(docs: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
     """(key, field, value) of the fields that are not empty."""
     return docs.unpivot(key, fields, "field", "value").where(or_default("value", "") != "")

@@ -43,5 +43,16 @@ def preserve_unless_forced(new: DataFrame, previous: DataFrame, key: str, column
     return joined.withColumns(picked | {"origin": F.when(F.col("__keep"), "kept").otherwise("new")}).select(*new.columns, "origin")
 
 
+def carry_prior_state(new: DataFrame, previous: DataFrame, key: str = "stem") -> DataFrame:
+    """new with status, category and subgroup of the previous snapshot, and its title where that was locked.
+
+    Documents that are new, or had an empty status, get the unknown status.
+    """
+    old = previous.select(F.col(key), *[F.col(c).alias(f"__{c}") for c in ("status", "category", "subgroup")], F.when(F.col("title_locked"), F.nullif("title", F.lit(""))).alias("__title"))
+    lean = new.drop("status", "category", "subgroup").join(old, key, "left")
+    carried = {"title": F.coalesce("__title", "title"), "status": F.coalesce(F.nullif("__status", F.lit("")), F.lit(L.UNKNOWN_STATUS)), "category": F.col("__category"), "subgroup": F.col("__subgroup")}
+    return lean.withColumns(carried).drop(*[f"__{c}" for c in ("status", "category", "subgroup", "title")])
+
+
 def distribution(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label)

@@ -110,14 +110,18 @@ def outer_boxes(boxes: DataFrame, key: list[str], box_id: str = "box_id") -> Dat
 
 
 def merge_by_position(prose: DataFrame, rows: DataFrame, boxes: DataFrame, key: list[str]) -> DataFrame:
-    """Lines (key, top, x0, line) outside all boxes and table rows (key, top, row_no, line), in order of top."""
+    """Lines (key, top, x0, pos, line) outside all boxes and table rows (key, top, row_no, line), in order of top.
+
+    Of equal tops lines come first, in order of pos, then table rows.
+    """
     a, b = prose.alias("a"), boxes.alias("b")
     cond = (F.col("a.top") >= F.col("b.y0")) & (F.col("a.top") <= F.col("b.y1")) & (F.col("a.x0") >= F.col("b.x0")) & (F.col("a.x0") <= F.col("b.x1"))
     for k in key:
         cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    outside = a.join(b, cond, "left_anti").select(*key, "top", "line")
-    placed = rows.select(*key, (F.col("top") + 0.01 * F.col("row_no")).alias("top"), "line")
-    return outside.unionByName(placed).withColumn("line_no", F.row_number().over(Window.partitionBy(*key).orderBy("top", "line")) - 1)
+    outside = a.join(b, cond, "left_anti").select(*key, "top", F.lit(0).alias("__kind"), F.col("pos").cast("long").alias("__pos"), "line")
+    placed = rows.select(*key, (F.col("top") + 0.01 * F.col("row_no")).alias("top"), F.lit(1).alias("__kind"), F.col("row_no").cast("long").alias("__pos"), "line")
+    order = Window.partitionBy(*key).orderBy("top", "__kind", "__pos", "line")
+    return outside.unionByName(placed).withColumn("line_no", F.row_number().over(order) - 1).drop("__kind", "__pos")
 
 
 def ocr_paragraphs(words: DataFrame, key: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from quillspark.functions import lexicon as L
 from quillspark.functions import text as X
 from quillspark.operators import catalog, classify, lines, links, metadata, pairs, sections, similarity, vectors
 from quillspark.plans import rag
+from quillspark.sources import sinks
 
 TITLES = [
     "Положення про Вчену раду факультету інформаційних технологій", "Положення про Вчену раду факультету гірничої справи", "Кодекс академічної доброчесності університету",
@@ -528,3 +529,137 @@ def cleaned_markdown(spark, sf):
 def guessed_titles(spark, sf):
     cover = F.concat(F.lit(f"{L.APPROVAL_WORD}\nНаказ Державного університету\n"), F.upper(_pick(TITLES, "doc_id")), F.lit("\n\n"), F.substring("text", 1, 200))
     return _read(spark, sf, "documents").select("doc_id", metadata.title(cover).alias("title"))
+
+
+# ---- pages, titles, forms, reports
+
+_PROSE = "SELECT l_orderkey, (l_partkey % 97)::DOUBLE AS top, l_quantity AS x0, l_linenumber::BIGINT AS pos, l_linestatus || l_suppkey AS line FROM lineitem WHERE l_linenumber > 2"
+_PAGE_BOXES = "SELECT l_orderkey, (l_partkey % 50)::DOUBLE AS y0, (l_partkey % 50 + 30)::DOUBLE AS y1, 5.0::DOUBLE AS x0, 30.0::DOUBLE AS x1, l_returnflag AS line FROM lineitem WHERE l_linenumber = 1"
+
+
+@query(f"WITH p AS ({_PROSE}), b AS ({_PAGE_BOXES}), u AS (SELECT l_orderkey, top, 0 AS kind, pos, line FROM p WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.l_orderkey = p.l_orderkey AND p.top BETWEEN b.y0 AND b.y1 AND p.x0 BETWEEN b.x0 AND b.x1) UNION ALL SELECT l_orderkey, y0 + 0.01::DOUBLE * n, 1, n, line || n FROM b, (SELECT unnest([0, 1, 2])::BIGINT AS n)) SELECT l_orderkey, line, (row_number() OVER (PARTITION BY l_orderkey ORDER BY top, kind, pos, line) - 1)::INT AS line_no FROM u")
+def lines_and_tables_merged(spark, sf):
+    l = _read(spark, sf, "lineitem")
+    y = F.pmod("l_partkey", F.lit(50)).cast("double")
+    prose = l.where("l_linenumber > 2").select("l_orderkey", F.pmod("l_partkey", F.lit(97)).cast("double").alias("top"), F.col("l_quantity").cast("double").alias("x0"), F.col("l_linenumber").alias("pos"), F.concat("l_linestatus", "l_suppkey").alias("line"))
+    first = l.where("l_linenumber = 1")
+    boxes = first.select("l_orderkey", y.alias("y0"), (y + 30).alias("y1"), F.lit(5.0).alias("x0"), F.lit(30.0).alias("x1"))
+    rows = first.select("l_orderkey", y.alias("top"), "l_returnflag", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("row_no")).withColumn("line", F.concat("l_returnflag", "row_no"))
+    return lines.merge_by_position(prose, rows, boxes, ["l_orderkey"]).select("l_orderkey", "line", "line_no")
+
+
+@query(f"WITH w AS (SELECT l_orderkey, line_no, line_no % 2 AS par, CASE WHEN line_no % 5 = 0 THEN ' ' ELSE line END AS word FROM ({_BOX})), p AS (SELECT l_orderkey, par, min(line_no) AS o, string_agg(word, ' ' ORDER BY line_no) AS t FROM w WHERE trim(word) <> '' GROUP BY 1, 2) SELECT l_orderkey, string_agg(t, chr(10) || chr(10) ORDER BY o) AS text FROM p GROUP BY 1")
+def ocr_words_grouped(spark, sf):
+    word = F.when(F.pmod("line_no", F.lit(5)) == 0, F.lit(" ")).otherwise(F.col("line"))
+    words = _boxes(spark, sf).select("l_orderkey", F.lit(1).alias("block_num"), F.pmod("line_no", F.lit(2)).alias("par_num"), F.col("line_no").alias("pos"), word.alias("word"))
+    return lines.ocr_paragraphs(words, ["l_orderkey"]).toDF("l_orderkey", "text")
+
+
+@query(f"WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page_no, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, o_orderkey FROM p WHERE NOT (page_no = 1 AND n > 1 AND o_orderkey % 2 = 0)")
+def cover_pages_dropped(spark, sf):
+    o = _read(spark, sf, "orders")
+    text = F.when(F.pmod("o_orderkey", F.lit(2)) == 0, F.lit(f"Наказом\n{L.APPROVAL_WORD}")).otherwise(F.lit("Затверджено"))
+    pages = o.select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page_no"), text.alias("text"))
+    return lines.drop_cover_page(pages, ["o_custkey"]).select("o_custkey", "o_orderkey")
+
+
+_AT = f"CASE WHEN list_contains({_list(list(L.ANCHOR_STEMS))}, upper(w[1])) THEN 1 WHEN list_contains({_list(list(L.ANCHOR_STEMS))}, upper(w[2])) THEN 2 END"
+
+
+@query(f"SELECT doc_id, upper(w[k]) AS anchor, CASE k WHEN 1 THEN '' WHEN 2 THEN w[1] END AS lead, CASE WHEN k IS NOT NULL THEN array_to_string(w[k + 1:], ' ') END AS rest FROM (SELECT doc_id, w, {_AT} AS k FROM (SELECT doc_id, string_split(title, ' ') AS w FROM ({TITLE_ROWS})))")
+def title_anchor_split(spark, sf):
+    return _titled(spark, sf).select("doc_id", metadata.split_title("title").alias("t")).select("doc_id", "t.anchor", "t.lead", "t.rest")
+
+
+@query(f"SELECT doc_id || ' п' AS target, '/base/wiki-pages/' || doc_id || '%20%D0%BF.html' AS url FROM documents WHERE list_contains({[i for i, _ in _LINKABLE]}, doc_id % {len(TITLES)})")
+def link_targets(spark, sf):
+    named = _titled(spark, sf).select(F.concat(F.col("doc_id").cast("string"), F.lit(" п")).alias("stem"), "title")
+    return links.link_specs(named, base="/base").select("target", "url")
+
+
+@query("SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE coalesce(nullif(regexp_extract(t[1:80], '^(.+) ', 1, 's'), ''), t[1:80]) || '…' END AS short FROM (SELECT doc_id, text[1:60 + (doc_id % 60)::INT] AS t FROM documents)")
+def short_titles(spark, sf):
+    t = F.substring(F.col("text"), F.lit(1), (F.lit(60) + F.pmod("doc_id", F.lit(60))).cast("int"))
+    return _read(spark, sf, "documents").select("doc_id", sections.short_title(t).alias("short"))
+
+
+@query("WITH o AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS status, c_mktsegment AS category, CASE WHEN c_custkey % 4 = 1 THEN 'x' END AS subgroup, CASE WHEN c_custkey % 3 = 0 THEN 'locked ' || c_name END AS title FROM customer WHERE c_custkey % 5 <> 0) SELECT c.c_custkey, coalesce(o.title, c.c_name) AS title, coalesce(nullif(status, ''), 'невідомо') AS status, category, subgroup FROM customer c LEFT JOIN o USING (c_custkey)")
+def prior_state_carried(spark, sf):
+    c = _read(spark, sf, "customer")
+    before = c.where("c_custkey % 5 <> 0").select("c_custkey", F.concat(F.lit("locked "), F.col("c_name")).alias("title"), (F.pmod("c_custkey", F.lit(3)) == 0).alias("title_locked"), F.when(F.pmod("c_custkey", F.lit(2)) == 0, F.col("c_mktsegment")).otherwise("").alias("status"), F.col("c_mktsegment").alias("category"), F.when(F.pmod("c_custkey", F.lit(4)) == 1, F.lit("x")).alias("subgroup"))
+    return classify.carry_prior_state(c.select("c_custkey", F.col("c_name").alias("title")), before, "c_custkey").select("c_custkey", "title", "status", "category", "subgroup")
+
+
+@query("SELECT doc_id, doc_id % 3 <> 0 AS changed, CASE WHEN doc_id % 3 = 0 THEN line ELSE regexp_replace(line, '^#{2,6} ', '') END AS line FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '# ' WHEN 1 THEN '## ' ELSE '###### ' END || coalesce(lang, '') AS line FROM documents)")
+def changed_headings(spark, sf):
+    mark = F.when(F.pmod("doc_id", F.lit(3)) == 0, "# ").when(F.pmod("doc_id", F.lit(3)) == 1, "## ").otherwise("###### ")
+    d = _read(spark, sf, "documents").select("doc_id", F.concat(mark, F.coalesce("lang", F.lit(""))).alias("before"))
+    after = lines.plain_heading("before")
+    return d.select("doc_id", sinks.changed(F.col("before"), after).alias("changed"), after.alias("line"))
+
+
+@query()
+def heading_diffs(spark, sf):
+    d = _read(spark, sf, "documents").select("doc_id", F.concat(F.lit("## "), F.coalesce("lang", F.lit("")), F.lit("\nтекст")).alias("before"))
+    return d.select("doc_id", sinks.unified_diff("before", lines.plain_heading("before")).alias("diff"))
+
+
+@query("SELECT o_orderkey, [['№', 'Статус', ''], [o_orderkey::VARCHAR, '', ''], ['а', 'б', o_orderstatus]] AS rows FROM orders")
+def tables_padded(spark, sf):
+    rows = F.array(F.array(F.lit("№"), F.lit("Статус")), F.array(F.col("o_orderkey").cast("string")), F.array(F.lit("а"), F.lit("б"), F.col("o_orderstatus")))
+    return _read(spark, sf, "orders").select("o_orderkey", catalog.pad_table(rows).alias("rows"))
+
+
+@query(f"WITH b AS (SELECT l_orderkey, line_no, line, line_no % 3 <> 0 AS bullet FROM ({_BOX})), r AS (SELECT *, sum(CASE WHEN bullet THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY line_no) AS run FROM b) SELECT l_orderkey, min(line_no) AS block_no, list(line ORDER BY line_no) AS items FROM r WHERE bullet GROUP BY l_orderkey, run")
+def bullet_lists(spark, sf):
+    found = _boxes(spark, sf).select("l_orderkey", F.col("line_no").alias("block_no"), F.when(F.pmod("line_no", F.lit(3)) != 0, "bullet").otherwise("para").alias("type"), F.col("line").alias("text"))
+    return catalog.bullet_runs(found, ["l_orderkey"])
+
+
+@query("SELECT p_partkey, coalesce(CASE WHEN p_partkey % 2 = 0 THEN p_size END, 1)::INT AS issue, coalesce(CASE WHEN p_partkey % 3 = 0 THEN p_size END, 0)::INT AS changes, coalesce(CASE WHEN p_partkey % 4 = 0 THEN p_type END, p_name, '') AS official_title, (CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 2 END)::INT AS people FROM part")
+def form_fields(spark, sf):
+    every = lambda n, c: F.when(F.pmod("p_partkey", F.lit(n)) == 0, F.col(c))
+    person = lambda position, name: F.struct(position.alias("position"), name.alias("name"))
+    null = F.lit(None).cast("string")
+    people = F.array(person(F.col("p_brand"), null), person(F.lit(""), null), person(null, F.when(F.pmod("p_partkey", F.lit(5)) != 0, F.col("p_name"))))
+    d = _read(spark, sf, "part").select("p_partkey", catalog.form_defaults(every(2, "p_size"), every(3, "p_size"), every(4, "p_type"), "p_name").alias("f"), F.size(catalog.real_people(people)).alias("people"))
+    return d.select("p_partkey", F.col("f.issue").cast("int").alias("issue"), F.col("f.changes").cast("int").alias("changes"), "f.official_title", "people")
+
+
+@query("SELECT p_partkey, p_brand AS doc_code, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE 1 END::INT AS issue, 0::INT AS changes, NULL::VARCHAR AS official_title, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS approver, CASE WHEN p_partkey % 5 = 0 THEN 1 END::INT AS developers FROM part")
+def saved_forms(spark, sf):
+    person = lambda position, name: F.struct(position.alias("position"), name.alias("name"))
+    issue = F.when(F.pmod("p_partkey", F.lit(2)) == 0, F.col("p_size").cast("string")).otherwise("")
+    approver = person(F.lit("ректор"), F.when(F.pmod("p_partkey", F.lit(3)) == 0, F.col("p_name")).otherwise(" "))
+    developers = F.array(person(F.lit(""), F.lit("")), person(F.lit(""), F.when(F.pmod("p_partkey", F.lit(5)) == 0, F.col("p_name")).otherwise("")))
+    form = catalog.saved_form(F.concat(F.lit(" "), F.col("p_brand")), issue, F.lit(""), F.lit("  "), approver, F.lit(""), developers, developers)
+    return _read(spark, sf, "part").select("p_partkey", form.alias("f")).select("p_partkey", "f.doc_code", "f.issue", "f.changes", "f.official_title", F.col("f.approver.name").alias("approver"), F.size("f.developers").alias("developers"))
+
+
+@query("SELECT vec_id, 'passage: ' || label AS passage, 'query: ' || label AS question FROM embeddings")
+def encoder_prefixes(spark, sf):
+    e = _read(spark, sf, "embeddings").withColumn("label", F.col("label").cast("string"))
+    return e.select("vec_id", rag.passage("label").alias("passage"), rag.question("label").alias("question"))
+
+
+_SIDES = "SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE r_name END AS path, r_name, repeat(n_name || ' ', 100) AS x, repeat(r_name || ' ', 100) AS y FROM nation JOIN region ON n_regionkey = r_regionkey"
+
+
+def _sides(spark, sf):
+    n = _read(spark, sf, "nation").join(_read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select("n_nationkey", "n_name", F.when(F.pmod("n_nationkey", F.lit(2)) == 0, "").otherwise(F.col("r_name")).alias("path"), "r_name", F.repeat(F.concat("n_name", F.lit(" ")), 100).alias("x"), F.repeat(F.concat("r_name", F.lit(" ")), 100).alias("y"))
+
+
+@query(f"SELECT n_nationkey, '[Фрагмент A] Документ: ' || n_name || ' (розділ ' || coalesce(nullif(path, ''), '—') || ')' || chr(10) || x[1:800] || chr(10) || chr(10) || '[Фрагмент B] Документ: ' || r_name || ' (розділ ' || r_name || ')' || chr(10) || y[1:800] AS prompt FROM ({_SIDES})")
+def judge_prompts(spark, sf):
+    return _sides(spark, sf).select("n_nationkey", rag.judge_prompt("n_name", "path", "x", "r_name", "r_name", "y").alias("prompt"))
+
+
+_PAIR_TEXT = "chr(10) || chr(10) || '**[A]** ' || n_name || ' — ' || coalesce(nullif(path, ''), '—') || ' (' || n_nationkey || ')' || chr(10) || '> ' || x[1:400] || chr(10) || chr(10) || '**[B]** ' || r_name || ' — ' || r_name || ' (' || r_name || ')' || chr(10) || '> ' || y[1:400] || chr(10) || chr(10) || '---' || chr(10)"
+
+
+@query(f"SELECT n_nationkey, '## Схожість ' || printf('%.3f', 0.9 + n_nationkey / 1000.0::DOUBLE) || {_PAIR_TEXT} AS candidate, '## {L.VERDICTS['unsure']} (схожість ' || printf('%.3f', 0.9 + n_nationkey / 1000.0::DOUBLE) || ')' || chr(10) || chr(10) || 'Пояснення моделі: ' || r_name || {_PAIR_TEXT} AS listed FROM ({_SIDES})")
+def pair_reports(spark, sf):
+    similarity = F.lit(0.9) + F.col("n_nationkey") / F.lit(1000.0)
+    sides = ("n_name", "path", F.col("n_nationkey").cast("string"), "x", "r_name", "r_name", "r_name", "y")
+    return _sides(spark, sf).select("n_nationkey", sinks.pair_report(*sides, similarity).alias("candidate"), sinks.pair_report(*sides, similarity, F.lit(L.VERDICTS["unsure"]), "r_name").alias("listed"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import difflib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quillspark.functions import lexicon as L
 from quillspark.functions.text import or_default
@@ -42,3 +45,21 @@ def write_records(docs: DataFrame, path: str) -> None:
 
 def changed(before: Column, after: Column) -> Column:
     return ~before.eqNullSafe(after)
+
+
+@F.pandas_udf(T.StringType())
+def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
+    """The lines that differ, for a dry run; empty for equal texts."""
+    return pd.Series(["\n".join(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), "before", "after", lineterm="")) for a, b in zip(before, after)], dtype=object)
+
+
+def pair_report(title_a, path_a, page_a, text_a, title_b, path_b, page_b, text_b, similarity, verdict=None, explanation=None, most: int = 400) -> Column:
+    """A pair as a section of a report: of the candidates, or with verdict and explanation of the shortlist."""
+    x = lambda c: F.col(c) if isinstance(c, str) else c
+    score = F.format_string("%.3f", x(similarity))
+    if verdict is None:
+        head = F.concat(F.lit("## Схожість "), score)
+    else:
+        head = F.concat(F.lit("## "), x(verdict), F.lit(" (схожість "), score, F.lit(")\n\nПояснення моделі: "), x(explanation))
+    side = lambda n, t, p, g, c: F.concat(F.lit(f"**[{n}]** "), x(t), F.lit(" — "), or_default(p, L.DASH), F.lit(" ("), x(g), F.lit(")\n> "), F.substring(x(c), 1, most))
+    return F.concat(head, F.lit("\n\n"), side("A", title_a, path_a, page_a, text_a), F.lit("\n\n"), side("B", title_b, path_b, page_b, text_b), F.lit("\n\n---\n"))
