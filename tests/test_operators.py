@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.operators import catalog, lines, metadata, sections
+from quillspark.operators import catalog, classify, lines, metadata, sections
 from quillspark.operators.graph import connected_components
 from quillspark.plans import rag
 from quillspark.sources import sinks, wiki
@@ -136,6 +136,35 @@ def test_print_helpers(spark):
     assert value(spark, catalog.pad_table("d"), d=[["a"], ["b", "c"]]) == [["a", ""], ["b", "c"]]
 
 
+def test_merge_by_position_ties(spark):
+    prose = spark.createDataFrame([(1, 5.0, 0.0, 1, "b"), (1, 5.0, 0.0, 2, "a"), (1, 9.0, 6.0, 3, "in a box"), (1, 9.0, 50.0, 4, "beside")], "doc int, top double, x0 double, pos int, line string")
+    rows = spark.createDataFrame([(1, 5.0, 1, "r1"), (1, 5.0, 0, "r0")], "doc int, top double, row_no int, line string")
+    boxes = spark.createDataFrame([(1, 6.0, 10.0, 5.0, 30.0)], "doc int, y0 double, y1 double, x0 double, x1 double")
+    got = lines.merge_by_position(prose, rows, boxes, ["doc"]).orderBy("line_no").collect()
+    assert [(r["line_no"], r["line"]) for r in got] == [(0, "b"), (1, "a"), (2, "r0"), (3, "r1"), (4, "beside")]
+    assert lines.merge_by_position(prose.limit(0), rows.limit(0), boxes, ["doc"]).count() == 0
+
+
+def test_prior_state(spark):
+    new = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "stem string, title string").withColumns({"status": F.lit("x"), "category": F.lit("new"), "n": F.lit(1)})
+    old = spark.createDataFrame([("a", "old A", True, "чинний", "k", "s"), ("b", "old B", None, "", None, None)], "stem string, title string, title_locked boolean, status string, category string, subgroup string")
+    got = {r["stem"]: (r["title"], r["status"], r["category"], r["subgroup"], r["n"]) for r in classify.carry_prior_state(new, old).collect()}
+    assert got == {"a": ("old A", "чинний", "k", "s", 1), "b": ("B", "невідомо", None, None, 1), "c": ("C", "невідомо", None, None, 1)}
+
+
+def test_bullet_runs(spark):
+    body = "- один\n- два\nабзац\n- три"
+    found = catalog.blocks(spark.createDataFrame([(1, body), (2, "абзац"), (3, None)], "doc int, body string"), ["doc"])
+    got = {(r["doc"], r["block_no"]): r["items"] for r in catalog.bullet_runs(found, ["doc"]).collect()}
+    assert got == {(1, 0): ["один", "два"], (1, 3): ["три"]}
+
+
+def test_diff_of_equal_and_null_texts(spark):
+    df = spark.createDataFrame([(1, "a\nb", "a\nc"), (2, "a", "a"), (3, None, "a"), (4, None, None)], "id int, old string, new string")
+    got = {r["id"]: r["d"] for r in df.select("id", sinks.unified_diff("old", "new").alias("d")).collect()}
+    assert got[1].splitlines()[-3:] == [" a", "-b", "+c"] and got[2] == "" and got[3].endswith("+a") and got[4] == ""
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
