@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm.entries import tokenizer_file
 from quillspark.llm.exact_dedup import drop_exact_duplicates
+from quillspark.llm.jaccard import drop_similar
 from quillspark.llm.packing import pack
 from quillspark.llm.quality import keep_quality
-from quillspark.llm.simhash import drop_near_duplicates
 from quillspark.llm.substring_dedup import drop_repeated_words
 from quillspark.workspace import materialize
 
@@ -28,8 +28,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints the document with the smallest doc_id stays."""
-    return drop_near_duplicates(docs)
+    """Documents whose five-word shingles have a Jaccard similarity of 0.8 or more to those of a smaller doc_id go."""
+    return drop_similar(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("substring dedup", substring_dedup), ("packing", packing)]
 
-#: Fingerprints, estimates by concentration steps and token ids are beyond SQL; tests hold run() against a brute-force version.
+#: Shingle sets, estimates by concentration steps and token ids are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -149,9 +149,3 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = MAX_BITS, key:
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, width: int = 3, most: int = MAX_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the smallest key of every component, with all columns of docs; keys are unique, as in `documents`."""
-    kept = near_duplicates(docs, width, most, key, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs[key].cast("long").eqNullSafe(kept["__kept"]), "left_semi")

@@ -9,10 +9,12 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _FALLBACK = "/tmp/quillspark-checkpoints"
 _written: dict[str, SparkSession] = {}
+#: The column of with_row_ids().
+ROW = "__row"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +32,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_ids(df: DataFrame) -> DataFrame:
+    """df with an id of each row in the column ROW, given once and written, so that every reading has the same."""
+    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def release() -> None:
     """Delete every table that materialize() wrote in this process. Runs at exit too; frames read from them end with it."""
     while _written:
