@@ -493,7 +493,7 @@ def best_edge(spark, sf):
 
 
 def _linked(spark, sf):
-    d = _read(spark, sf, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("stem"), F.concat(F.lit("Див. "), F.lower(_pick(TITLES, "doc_id")), F.lit("; також КОДЕКС АКАДЕМІЧНОЇ ДОБРОЧЕСНОСТІ УНІВЕРСИТЕТУ. "), F.substring("text", 1, 50)).alias("body"))
+    d = _read(spark, sf, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("stem"), F.concat(F.lit("Див. "), F.lower(_pick(TITLES, "doc_id")), F.lit("; також КОДЕКС АКАДЕМІЧНОЇ ДОБРОЧЕСНОСТІ УНІВЕРСИТЕТУ. "), F.col("text")).alias("body"))
     t = spark.createDataFrame([(f"t {i}", t) for i, t in enumerate(TITLES)], "stem string, title string")
     return d, links.link_specs(t)
 
@@ -527,7 +527,7 @@ def cleaned_markdown(spark, sf):
 
 @query()
 def guessed_titles(spark, sf):
-    cover = F.concat(F.lit(f"{L.APPROVAL_WORD}\nНаказ Державного університету\n"), F.upper(_pick(TITLES, "doc_id")), F.lit("\n\n"), F.substring("text", 1, 200))
+    cover = F.concat(F.lit(f"{L.APPROVAL_WORD}\nНаказ Державного університету\n"), F.upper(_pick(TITLES, "doc_id")), F.lit("\n\n"), F.col("text"))
     return _read(spark, sf, "documents").select("doc_id", metadata.title(cover).alias("title"))
 
 
