@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from quillspark.llm.tokenizer import encoder
-from quillspark.llm.worker import text_slices
+from quillspark.llm.tokenizer import encoder, with_end
+from quillspark.llm.worker import binaries, text_slices
 from quillspark.workspace import materialize
 
 #: Partition offsets are broadcast up to this many partitions (about 32 MB); beyond it they are joined by a shuffle.
@@ -26,20 +26,18 @@ _ENCODED = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, crosses boolean"
 
 
-def _encode_partition(path: str, end_id: int):
+def _encode_partition(path: str, end_id: int, special: bool):
     def run(rows):
-        enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
+        enc, part, at = encoder(path, special), TaskContext.get().partitionId(), 0
         for batch in rows:
             for s in text_slices(batch):
-                ids = [x + end for x in enc.encode_many([x or "" for x in s.column(1).to_pylist()])]
-                n = [len(x) // 4 for x in ids]
-                starts = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+                ids, n = with_end(*enc.encode_column(s.column(1)), end_id)
+                starts = at + np.cumsum(n) - n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(n), pa.int32()), s.column(0), pa.array(at + starts[:-1]), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+                    [pa.array(np.full(len(n), part, np.int32)), s.column(0), pa.array(starts), pa.array(n), binaries(ids, 4 * n)],
                     names=[f.name for f in _ENCODED],
                 )
-                at += int(starts[-1])
+                at += len(ids)
 
     return run
 
@@ -67,10 +65,10 @@ def _cut_partition(length: int):
     return run
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", special: bool = True) -> DataFrame:
     """First pass, written to the shared folder: (part, doc_id, local_start, n_tokens, ids), ids with the end id."""
     lean = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialize(lean.mapInArrow(_encode_partition(tokenizer_path, end_id), _ENCODED), "packed-ids")
+    return materialize(lean.mapInArrow(_encode_partition(tokenizer_path, end_id, special), _ENCODED), "packed-ids")
 
 
 def partition_offsets(encoded: DataFrame) -> DataFrame:
@@ -79,16 +77,17 @@ def partition_offsets(encoded: DataFrame) -> DataFrame:
     return totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", special: bool = True) -> DataFrame:
     """Pieces of documents in sequences of `length` ids.
 
     One row per piece: doc_id, start (the document's ids before it), length, ids_crc32 (unsigned, of the piece's ids as
     little-endian unsigned 32-bit), doc_tokens (with the end id), sequence_id, offset (in the sequence), crosses (whether
     the document runs over a boundary). Null texts are empty: one piece that holds the end id alone. Repeated rows, also
     those with one doc_id, are documents of their own. A null key stays null. An empty table gives no rows. Other columns
-    of docs are ignored. The last sequence alone may be short; whoever fills tensors pads it.
+    of docs are ignored. The last sequence alone may be short; whoever fills tensors pads it. special: whether strings of the
+    tokenizer's added tokens in a text become those tokens, as by the library's default.
     """
-    encoded = encode_documents(docs, tokenizer_path, end_id, key, text)
+    encoded = encode_documents(docs, tokenizer_path, end_id, key, text, special)
     offsets = partition_offsets(encoded)
     parts = max(1, len(encoded.inputFiles()))
     if parts <= BROADCAST_PARTITIONS:

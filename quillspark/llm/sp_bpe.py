@@ -2,23 +2,23 @@
 
 The model file is a serialised protocol buffer: one piece per rank, its bytes mapped to printable characters one to one,
 scored by its negative rank, with identity normalisation. sentencepiece's BPE joins the adjacent pair of the highest score,
-the leftmost of equals, so it makes the merges that the ranks ask for. Texts are split by the pattern first and every
-pre-token is encoded on its own; ids are decoded through the inverse of the byte mapping.
+the leftmost of equals, so it makes the merges that the ranks ask for. Texts are split by the pattern and every pre-token is
+encoded on its own, once for each distinct piece between safe cuts (see tokenizer); ids are decoded through the inverse of the byte mapping.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import hashlib
 import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.tokenizer import PieceCache, piece_values
-from quillspark.llm.worker import resident, text_slices
+from quillspark.llm.tokenizer import PiecePool, column_bytes, safe_cuts
+from quillspark.llm.worker import digests, resident, text_slices
 
 _BPE, _UNKNOWN = 2, 2  # TrainerSpec.ModelType.BPE, SentencePiece.Type.UNKNOWN
 
@@ -79,20 +79,33 @@ class BytePairCodec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(tokens))
         self.to_chars = dict(enumerate(byte_chars()))
         back = {c: b for b, c in enumerate(byte_chars())}
-        self.inverse = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(tokens))]
-        self.first, self.rest = PieceCache(self._encode, 15_000), PieceCache(self._encode)
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        words = [self.split(p) for p in pieces]
-        mapped = [w.encode().decode("latin-1").translate(self.to_chars) for ws in words for w in ws]
-        ids = iter(self.model.encode(mapped, num_threads=1))
-        return [np.array([i for _ in ws for i in next(ids)], "<u4").tobytes() for ws in words]
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(x) for x in piece_values(texts, self.first, self.rest)]
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.inverse.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        inverse = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(tokens))]
+        self.bytes, self.sizes = np.frombuffer(b"".join(inverse), np.uint8), np.fromiter(map(len, inverse), np.int64, len(inverse))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.pool = PiecePool(self._encode)
+
+    def _encode(self, pieces: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        words = [self.split(p.decode("utf-8", "surrogatepass")) for p in pieces]
+        ids = self.model.encode([w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_chars) for ws in words for w in ws], num_threads=1)
+        upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        each = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+        return pieces, np.fromiter(chain.from_iterable(ids), np.uint32, int(upto[-1])), np.diff(upto[each])
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, how many each text has)."""
+        data, ends = column_bytes(texts)
+        cuts = np.flatnonzero(safe_cuts(data, ends)) if len(data) else np.zeros(1, np.int64)
+        ids, sizes = self.pool.gather(data, cuts)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, np.diff(upto[np.searchsorted(cuts, ends)])
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all texts one after another, how many each has), of ids one after another and their counts."""
+        sizes = self.sizes[ids]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.starts[ids] - upto[:-1], sizes)
+        at += np.arange(len(at))
+        return self.bytes[at], np.diff(upto[np.concatenate([[0], np.cumsum(counts)])])
 
 
 def codec(ranks_path: str, pattern: str) -> BytePairCodec:
@@ -103,14 +116,10 @@ def codec(ranks_path: str, pattern: str) -> BytePairCodec:
 def _digest_partition(ranks_path: str, pattern: str):
     def run(rows):
         bpe = codec(ranks_path, pattern)
-        sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in rows:
             for s in text_slices(batch):
-                ids = bpe.encode_many([x or "" for x in s.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [s.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(bpe.decode(x)) for x in ids])],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                ids, n = bpe.encode_column(s.column(1))
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(n), pa.array(digests(ids.astype("<u4"), 4 * n)), pa.array(digests(*bpe.decode(ids, n)))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 

@@ -15,108 +15,88 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.tokenizer import JoinedEncoder, PieceCache, cut, piece_values
-from quillspark.llm.worker import resident, text_slices
+from quillspark.llm.tokenizer import column_bytes, encoder
+from quillspark.llm.worker import text_slices
 
 RULES = ("first", "last", "most")
 _OUT = "doc_id long, section int, char_start long, char_end long, n_tokens long, n_crossing long, doc_tokens long"
 
 
-class SpanEncoder:
-    """Character spans of the tokens of whole texts."""
-
-    def __init__(self, path: str):
-        self.joined = JoinedEncoder(path)
-        self.rest = PieceCache(lambda x: self._spans(x, False), 200_000)
-        self.first = PieceCache(lambda x: self._spans(x, True), 15_000)
-
-    def _spans(self, pieces: list[str], apart: bool) -> list[bytes]:
-        """Spans of each piece's tokens, from the piece's first character."""
-        out = []
-        for raw, _, ends, stops in self.joined.groups(pieces, apart):
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-            last = np.searchsorted(ends, stops, side="right")
-            begin = np.concatenate([[0], stops[:-1]])
-            if not raw.isascii():
-                char = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1  # of each byte
-                starts, ends, begin = char[starts], char[ends - 1] + 1, char[np.minimum(begin, len(raw) - 1)]
-            home = np.repeat(begin, np.diff(np.concatenate([[0], last])))
-            spans, at = np.stack([starts - home, ends - home], axis=1).astype("<i4").tobytes(), 0
-            for end in (8 * last).tolist():
-                out.append(spans[at:end])
-                at = end
-        return out
-
-    def spans_many(self, texts: list[str]) -> list[np.ndarray]:
-        cuts = [cut(t) for t in texts]
-        out = []
-        for c, found in zip(cuts, piece_values(texts, self.first, self.rest, cuts)):
-            size = np.fromiter(map(len, c), np.int64, len(c))
-            size[1:] += 1  # the space
-            spans = np.frombuffer(b"".join(found), "<i4").reshape(-1, 2).astype(np.int64)
-            at = np.repeat(np.cumsum(size) - size, np.fromiter(map(len, found), np.int64, len(found)) // 8)
-            out.append(spans + at[:, None])
-        return out
-
-
-def span_encoder(path: str) -> SpanEncoder:
-    return resident(("spans", path), lambda: SpanEncoder(path))
-
-
-def line_starts(text: str) -> np.ndarray:
-    """Starts of the lines of text; a line holds the \\n that ends it."""
-    sizes = [len(x) + 1 for x in text.split("\n")]
-    return np.concatenate([[0], np.cumsum(sizes[:-1])]).astype(np.int64)
-
-
-def allocate(spans: np.ndarray, starts: np.ndarray, end: int, rule: str) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and crossing tokens of each section; sections begin at starts and reach to the next or to end."""
-    a = np.searchsorted(starts, spans[:, 0], side="right") - 1
-    b = np.searchsorted(starts, np.maximum(spans[:, 1] - 1, spans[:, 0]), side="right") - 1
-    home = b.copy() if rule == "last" else a.copy()
-    crossing = np.flatnonzero(a != b)
-    if rule == "most":
-        edges = np.append(starts, end)
-        for i in crossing.tolist():
-            s, e = spans[i]
-            part = np.minimum(edges[a[i] + 1 : b[i] + 2], e) - np.maximum(edges[a[i] : b[i] + 1], s)
-            home[i] = a[i] + int(part.argmax())
-    n = len(starts)
-    return np.bincount(home, minlength=n), np.bincount(home[crossing], minlength=n)
+def line_starts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, first byte) of the lines of texts between ends in data; a line holds the \\n that ends it."""
+    feeds = np.flatnonzero(data == 10)
+    doc = np.concatenate([np.arange(len(ends) - 1), np.searchsorted(ends, feeds, side="right") - 1])
+    at = np.concatenate([ends[:-1], feeds + 1])
+    order = np.lexsort((at, doc))
+    return doc[order], at[order]
+
 
+def given_starts(own: list, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, first character, counted over all texts) of sections that are given by their starts."""
+    lists = [sorted({0, *(x for x in o if x is not None and 0 <= x < max(1, n))}) for o, n in zip(own, sizes.tolist())]
+    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    return doc, np.array([x for o in lists for x in o], np.int64) + (np.cumsum(sizes) - sizes)[doc]
 
-def _count_partition(path: str, rule: str):
+
+def allocate(first: np.ndarray, last: np.ndarray, starts: np.ndarray, end: int, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and crossing tokens of each section. Tokens reach from first up to last; sections from starts to the next or to end."""
+    a = np.searchsorted(starts, first, side="right") - 1
+    b = np.searchsorted(starts, np.maximum(last - 1, first), side="right") - 1
+    home = b.copy() if rule == "last" else a.copy()
+    crossing = np.flatnonzero(a != b)
+    if rule == "most" and len(crossing):
+        n = (b - a + 1)[crossing]
+        new = np.cumsum(n) - n
+        section = np.repeat(a[crossing] - new, n) + np.arange(int(n.sum()))
+        edges, token = np.append(starts, end), np.repeat(crossing, n)
+        part = np.minimum(edges[section + 1], last[token]) - np.maximum(edges[section], first[token])
+        best = np.flatnonzero(part == np.repeat(np.maximum.reduceat(part, new), n))
+        home[crossing] = section[best[np.searchsorted(best, new)]]  # the earliest of equals
+    return np.bincount(home, minlength=len(starts)), np.bincount(home[crossing], minlength=len(starts))
+
+
+def _count_partition(path: str, rule: str, special: bool):
     def run(rows):
-        enc = span_encoder(path)
+        enc = encoder(path, special)
         for batch in rows:
             for s in text_slices(batch):
-                cols: list[list] = [[] for _ in range(6)]
-                ids: list = []
-                texts = [x or "" for x in s.column(1).to_pylist()]
-                own = s.column(2).to_pylist() if s.num_columns > 2 else [None] * len(texts)
-                for k, t, spans, sec in zip(s.column(0).to_pylist(), texts, enc.spans_many(texts), own):
-                    starts = line_starts(t) if sec is None else np.array(sorted({0, *(x for x in sec if 0 <= x < max(1, len(t)))}), np.int64)
-                    counts, crossing = allocate(spans, starts, len(t), rule)
-                    n = len(starts)
-                    ids += [k] * n
-                    for c, v in zip(cols, (np.arange(n, dtype=np.int32), starts, np.append(starts[1:], len(t)), counts, crossing, np.full(n, len(spans)))):
-                        c.append(v)
-                arrays = [pa.array(np.concatenate(c)) for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *arrays], names=["doc_id", "section", "char_start", "char_end", "n_tokens", "n_crossing", "doc_tokens"])
+                data, ends = column_bytes(s.column(1))
+                ids, counts = enc.encode_column(s.column(1))
+                upto = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters that begin before each byte
+                stop = np.cumsum(enc.n_bytes[ids])
+                first, last = upto[np.minimum(stop - enc.n_bytes[ids] + 1, len(data))] - 1, upto[stop]
+                doc, at = line_starts(data, ends)
+                at, edges = upto[at], upto[ends]
+                if s.num_columns > 2:
+                    own = s.column(2).to_pylist()
+                    theirs = given_starts([x or [] for x in own], np.diff(edges))
+                    lines = np.array([x is None for x in own], bool)
+                    doc, at = (np.concatenate([x[lines[doc]], y[~lines[theirs[0]]]]) for x, y in zip((doc, at), theirs))
+                    order = np.lexsort((at, doc))
+                    doc, at = doc[order], at[order]
+                n, crossing = allocate(first, last, at, int(edges[-1]), rule)
+                begin = np.searchsorted(doc, np.arange(len(ends) - 1))
+                stops = np.append(at[1:], edges[-1])
+                stops[np.append(begin[1:], len(doc)) - 1] = edges[1:]
+                yield pa.RecordBatch.from_arrays(
+                    [s.column(0).take(pa.array(doc)), pa.array((np.arange(len(doc)) - begin[doc]).astype(np.int32)), *(pa.array(x.astype(np.int64)) for x in (at - edges[doc], stops - edges[doc], n, crossing, counts[doc]))],
+                    names=["doc_id", "section", "char_start", "char_end", "n_tokens", "n_crossing", "doc_tokens"],
+                )
 
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, rule: str = "most", key: str = "doc_id", text: str = "text", starts: str | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, rule: str = "most", key: str = "doc_id", text: str = "text", starts: str | None = None, special: bool = True) -> DataFrame:
     """Tokens of every section of every document: a row per section, numbered from 0.
 
     Sections are the text's lines, or begin at the character offsets in the array column `starts` (0 is added; offsets
     outside the text are ignored; a null array means lines). A null or empty text has one empty section without tokens. Repeated
     rows give repeated results, a null key stays null, other columns are ignored, an empty table gives no rows. No shuffle.
+    special: whether strings of the tokenizer's added tokens in a text become those tokens, as by the library's default.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     lean = [F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")]
     if starts:
         lean.append(F.col(starts).cast("array<long>").alias("starts"))
-    return docs.select(*lean).mapInArrow(_count_partition(tokenizer_path, rule), _OUT)
+    return docs.select(*lean).mapInArrow(_count_partition(tokenizer_path, rule, special), _OUT)

@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from quillspark.llm.tokenizer import encoder
+from quillspark.llm.tokenizer import encoder, with_end
 from quillspark.llm.worker import text_slices
 
 BLOCK = 1024
 MAGIC = b"PFR1"
 _HEAD = struct.Struct("<4sIQIq")
 _BLOCK = struct.Struct("<IHHH")
-#: An image is written once it holds this many ids; a longer document has an image to itself.
+#: An image holds so many ids at most; a longer document has an image to itself.
 IMAGE_IDS = 1 << 20
 
 IMAGES = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("seq", T.IntegerType()), ("first_place", T.LongType()), ("n_ids", T.LongType()), ("image", T.BinaryType()))])
@@ -126,10 +126,17 @@ class Image:
             raise ValueError("not a token image")
         at = _HEAD.size
         keys, null = np.frombuffer(self.buf, "<i8", docs, at), np.frombuffer(self.buf, np.uint8, docs, at + 8 * docs)
-        self.keys = [None if z else k for k, z in zip(keys.tolist(), null.tolist())]
+        self._keys, self._null = keys, null.astype(bool)
         self.lengths = np.frombuffer(self.buf, "<u4", docs, at + 9 * docs).astype(np.int64)
         self.starts = np.frombuffer(self.buf, "<u8", blocks, at + 13 * docs).astype(np.int64)
 
+    def key_array(self) -> pa.Array:
+        return pa.array(self._keys, pa.int64(), mask=self._null)
+
+    @property
+    def keys(self) -> list:
+        return self.key_array().to_pylist()
+
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         stop = self.n_ids if stop is None else min(stop, self.n_ids)
         if stop <= start:
@@ -161,34 +168,36 @@ class Image:
         return (out + base[:, None]).reshape(-1)[: self.n_ids]
 
 
-def _write_partition(path: str, end_id: int, share: float):
+def _write_partition(path: str, end_id: int, share: float, special: bool):
     def run(rows):
-        enc, part = encoder(path), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4").tobytes()
+        enc, part = encoder(path, special), TaskContext.get().partitionId()
         place = seq = held = 0
-        keys, parts = [], []
+        keys, sizes, ids = [], [], []
 
         def image():
-            lengths = [len(x) // 4 for x in parts]
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([place], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([encode_image(keys, lengths, ids, place, share)], pa.binary())], names=IMAGES.names)
+            own = np.concatenate(ids)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([place], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([encode_image(keys, sizes, own, place, share)], pa.binary())], names=IMAGES.names)
 
         for batch in rows:
             for s in text_slices(batch):
-                for k, ids in zip(s.column(0).to_pylist(), enc.encode_many([x or "" for x in s.column(1).to_pylist()])):
-                    keys.append(k)
-                    parts.append(ids + end)
-                    held += len(ids) // 4 + 1
-                    if held >= IMAGE_IDS:
+                flat, counts = with_end(*enc.encode_column(s.column(1)), end_id)
+                at = done = 0  # ids of this slice: seen, and handed to an image
+                for k, n in zip(s.column(0).to_pylist(), counts.tolist()):
+                    if held and held + n > IMAGE_IDS:
+                        ids.append(flat[done:at])
                         yield image()
-                        place, seq, held, keys, parts = place + held, seq + 1, 0, [], []
-        if parts:
+                        place, seq, held, done, keys, sizes, ids = place + held, seq + 1, 0, at, [], [], []
+                    keys.append(k)
+                    sizes.append(n)
+                    held, at = held + n, at + n
+                ids.append(flat[done:])
+        if keys:
             yield image()
 
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, share: float = 0.9, key: str = "doc_id", text: str = "text") -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, share: float = 0.9, key: str = "doc_id", text: str = "text", special: bool = True) -> None:
     """Encode whole texts and write images under path, in ascending key order over all files (null keys first).
 
     One range shuffle of the texts orders them; ids are made after it and never shuffled. Ties keep any order among
@@ -197,7 +206,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     lean = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     lean = lean.repartitionByRange(n, "key").sortWithinPartitions("key")
-    lean.mapInArrow(_write_partition(tokenizer_path, end_id, share), IMAGES).write.option("compression", "none").parquet(path)
+    lean.mapInArrow(_write_partition(tokenizer_path, end_id, share, special), IMAGES).write.option("compression", "none").parquet(path)
 
 
 def _read_partition(rows):
@@ -208,7 +217,7 @@ def _read_partition(rows):
             ends = np.cumsum(img.lengths)
             starts = ends - img.lengths
             crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(img.keys, pa.int64()), pa.array(starts + img.place + base), pa.array(img.lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([img.key_array(), pa.array(starts + img.place + base), pa.array(img.lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

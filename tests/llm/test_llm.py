@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,9 +50,7 @@ def empty(spark):
 def tok():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 def got(df, *columns):
@@ -62,11 +61,34 @@ def ids_of(tok, text):
     return tok.encode(text, add_special_tokens=False).ids
 
 
-def test_pieces_equal_whole(tok):
-    enc = tokenizer.Encoder(JSON)
-    enc.rest.size = 20  # forget again and again
-    texts = [t or "" for t in awkward()]
-    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_many(texts)] == [ids_of(tok, t) for t in texts]
+ALPHABET = ["a", "B", "the", "é", "×", "÷", "ß", " ", " ", "  ", "\n", "\n", "\t", "\r\n", "'", "'s", "'ll", "1", "23", ".", ",", "(", "<|endoftext|>", "<|endof", "text|>", "слово", "…", "\u00a0", "\u2028", "\x1c", "\x85", "漢字", "한", "𝄞", "ª", "\u0301", "\x00", "$", "_", "''"]
+
+
+@pytest.mark.parametrize("special", [True, False])
+def test_pieces_equal_whole(special):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(JSON)
+    tok.encode_special_tokens = not special
+    enc, rnd = tokenizer.Encoder(JSON, special), random.Random(8)
+    enc.pool.size = 200  # forget again and again
+    for _ in range(60):
+        texts = [*awkward(), *("".join(rnd.choice(ALPHABET) for _ in range(rnd.randrange(30))) for _ in range(30))]
+        rnd.shuffle(texts)
+        ids, counts = enc.encode_column(pa.array(texts).slice(rnd.randrange(3)))
+        texts = texts[-len(counts) :]
+        cut = np.split(ids, np.cumsum(counts)[:-1])
+        assert [x.tolist() for x in cut] == [ids_of(tok, t or "") for t in texts]
+
+
+def test_added_tokens_are_the_librarys(spark, tok):
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n", "<|endof", "text|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = {i: ids_of(tok, t) for i, t in enumerate(texts)}
+    assert 50256 in want[0]
+    assert {r["doc_id"]: r["doc_tokens"] for r in token_counts.count_tokens(df, JSON).collect()} == {i: len(x) for i, x in want.items()}
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert {r["doc_id"]: r["ids_crc32"] for r in packing.pack(df, JSON).collect()} == {i: crc([*x, 1]) for i, x in want.items()}
 
 
 def test_token_counts(docs, rows, tok, empty):
