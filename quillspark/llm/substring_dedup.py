@@ -1,53 +1,68 @@
 """Repeated passages of words through compressed FM-indexes.
 
-Each shard (a bucket of segments, see anchors) has an FM-index of the distinct segments in it: the Burrows-Wheeler transform in
-a wavelet matrix of packed bits, with suffixes ordered through 16 words, which is all that patterns of up to 15 words ask for. Documents' segments are
-streamed through the shard that their anchor leads to. Matching statistics come from backward search, word by word from a segment's
-end; at the threshold the interval is widened to all suffixes that share the first 13 words, so each further word costs one step. Intervals at
-the threshold are reported with the smallest document in them.
+Documents' segments come to shards by anchor (see anchors). Of the segments under one anchor, in the order of their
+documents, those in even blocks of 1, 2, 4 ... are indexed, and those in the odd block that follows are streamed through the index: so every pair of
+segments under an anchor meets once, the smaller document's in the index and the greater's in the stream, and no streamed text is in
+the index that it is streamed through.
+
+An index is an FM-index: the Burrows-Wheeler transform in a wavelet matrix of packed bits, and two bit vectors that mark where
+suffixes differ in their first 12 and 13 words. The suffix array is dropped once the smallest document of each 13-word interval is noted.
+A segment is streamed by backward search from its end. At 13 words the interval is reported; it is then widened to the suffixes that share
+the first 12 of them, so that each further word costs one step. Where the search fails, the windows left of the failure start anew, each on its own.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quillspark.llm.anchors import Windows, covered, key_column, keyed, repeated_spans, with_spans
-from quillspark.llm.worker import resident
+from quillspark.llm.anchors import Windows, covered, key_column, keyed, ranks, repeated_spans, with_spans, word_slices
+from quillspark.llm.worker import frugal, text_slices
 
+#: Suffixes are ordered through so many words.
 DEPTH = 16
+#: Windows that are streamed in one go; longer segments are cut.
+_STRETCH = 16
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
-class _WordHash(dict):
-    """64-bit hashes of words, emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 150_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+_NONE = np.iinfo(np.int64).max
 
 
 def _words(text) -> list[bytes]:
     return bytes(text).split()  # at ASCII white space: space and \x09-\x0D
 
 
-def _tokens(text) -> np.ndarray:
-    words = _words(text)
-    return np.fromiter(map(resident(("words",), _WordHash).__getitem__, words), np.uint64, len(words))
+@functools.cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64, and those of its inverse."""
+    out = []
+    for base in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)):
+        x, n = np.ones(size, np.uint64), 1
+        with np.errstate(over="ignore"):
+            while n < size:  # twice as many each time
+                x[n : 2 * n] = x[: min(n, size - n)] * np.uint64(pow(base, n, 1 << 64))
+                n *= 2
+        out.append(x)
+    return out[0], out[1]
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words: differences of one running polynomial over the bytes, shifted to the same place."""
+    data, starts, counts = word_slices(texts)
+    power, inverse = _powers(1 << max(21, int(len(data)).bit_length()))
+    with np.errstate(over="ignore"):
+        upto = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])])
+        return np.diff(upto[starts]) * inverse[starts[:-1]], counts
 
 
 def _contents(text):
     words = _words(text)
-    return lambda a, b: b" ".join(words[a:b])
+    return lambda a, b: b" ".join(words[a:b]) if b <= len(words) else b""
 
 
 def word_windows(threshold: int = 13) -> Windows:
@@ -56,71 +71,82 @@ def word_windows(threshold: int = 13) -> Windows:
     return Windows(threshold, 4, _tokens, _contents)
 
 
+class BitVector:
+    """Packed bits with a running count per word of 64."""
+
+    def __init__(self, bits: np.ndarray):
+        self.words = np.packbits(np.concatenate([bits.astype(np.uint8), np.zeros(64 + (-len(bits)) % 64, np.uint8)]), bitorder="little").view("<u8")
+        ones = np.bitwise_count(self.words).astype(np.int64)
+        self.counts = (np.cumsum(ones) - ones).astype(np.int32)
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """Bits set before each place."""
+        word = at >> 6
+        return self.counts[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+
+
 class WaveletMatrix:
-    """Ranks of symbols in a sequence; bits packed in 64-bit words with a running count per word."""
+    """Ranks of symbols in a sequence."""
 
     def __init__(self, seq: np.ndarray, symbols: int):
         self.bits = max(1, int(symbols - 1).bit_length())
-        self.words, self.counts, self.zeros = [], [], []
+        self.levels, self.zeros = [], []
         for b in range(self.bits - 1, -1, -1):
-            bit = ((seq >> b) & 1).astype(np.uint8)
-            packed = np.packbits(np.concatenate([bit, np.zeros(64 + (-len(bit)) % 64, np.uint8)]), bitorder="little").view("<u8")
-            ones = np.bitwise_count(packed).astype(np.int64)
-            self.words.append(packed)
-            self.counts.append((np.cumsum(ones) - ones).astype(np.int32))
+            bit = (seq >> b) & 1 == 1
+            self.levels.append(BitVector(bit))
             self.zeros.append(len(seq) - int(bit.sum()))
-            seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
+            seq = np.concatenate([seq[~bit], seq[bit]])
 
     def walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where prefixes [0, at) of the sequence end among the symbol's place in the last level."""
         at = at.astype(np.int64)
-        for level in range(self.bits):
-            word = at >> 6
-            below = self.words[level][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-            ones = self.counts[level][word] + np.bitwise_count(below)
-            at = np.where((symbol >> (self.bits - 1 - level)) & 1, self.zeros[level] + ones, at - ones)
+        for k, (level, zeros) in enumerate(zip(self.levels, self.zeros)):
+            ones = level.ones(at)
+            at = np.where((symbol >> (self.bits - 1 - k)) & 1, zeros + ones, at - ones)
         return at
 
 
 class FMIndex:
-    """Index of a sequence of symbols from 1 on, with 0 before, between and after texts."""
+    """Index of a sequence of symbols from 1 on, with 0 before, between and after texts. labels: a number for each symbol of the sequence."""
 
-    def __init__(self, seq: np.ndarray, threshold: int):
+    def __init__(self, seq: np.ndarray, threshold: int, labels: np.ndarray | None = None):
         if not len(seq) or seq[0] or seq[-1]:
             raise ValueError("the sequence must begin and end with 0")
-        n, rank, step = len(seq), seq.astype(np.int64), 1
+        self.n, self.threshold, self.symbols = len(seq), threshold, int(seq.max()) + 1
+        rank, step = seq.astype(np.int64), 1
         while step < DEPTH:  # prefix doubling, through DEPTH symbols
-            after = np.zeros(n, np.int64)
-            after[: n - step] = rank[step:] + 1
+            after = np.zeros(self.n, np.int64)
+            after[: self.n - step] = rank[step:] + 1
             key = rank * (int(after.max()) + 1) + after
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             s = key[order]
-            rank = np.empty(n, np.int64)
+            rank = np.empty(self.n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
             step *= 2
-        self.suffixes, self.symbols = order, int(seq.max()) + 1
+        del rank, key, s, after
         self.wavelet = WaveletMatrix(seq[order - 1], self.symbols)
         c = np.bincount(seq, minlength=self.symbols)
-        every = np.arange(self.symbols)
-        self.offset = np.cumsum(c) - c - self.wavelet.walk(every, np.zeros(self.symbols, np.int64))
-        # suffixes that share their first `threshold` symbols are neighbours: where such a group starts and ends
-        differ = np.zeros(n, bool)
+        self.first = np.concatenate([[0], np.cumsum(c)])
+        self.offset = self.first[:-1] - self.wavelet.walk(np.arange(self.symbols), np.zeros(self.symbols, np.int64))
+        differ = np.zeros(self.n, bool)
+        differ[0] = True
         for k in range(threshold):
-            x = np.where(order + k < n, seq[np.minimum(order + k, n - 1)], -1)
+            x = np.where(order + k < self.n, seq[np.minimum(order + k, self.n - 1)], -1)
             differ[1:] |= x[1:] != x[:-1]
-        differ[:1] = True
-        self.starts = np.flatnonzero(differ)
-        self.group = np.cumsum(differ) - 1
-        self.ends = np.append(self.starts[1:], n)
+            if k == threshold - 2:  # suffixes that share all words of a window but the last are neighbours
+                self.short, self.starts = BitVector(differ), np.append(np.flatnonzero(differ), self.n).astype(np.int32)
+        self.whole = BitVector(differ)
+        self.least = np.minimum.reduceat(labels[order], np.flatnonzero(differ)) if labels is not None else None
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of symbol + pattern from those of pattern."""
+        at = self.wavelet.walk(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
         off = self.offset[symbol]
-        return off + self.wavelet.walk(symbol, low), off + self.wavelet.walk(symbol, high)
+        return off + at[: len(symbol)], off + at[len(symbol) :]
 
     def count(self, pattern: list[int]) -> int:
         """Occurrences of a pattern of fewer than DEPTH symbols."""
-        low, high = np.zeros(1, np.int64), np.array([len(self.suffixes)])
+        low, high = np.zeros(1, np.int64), np.array([self.n])
         for s in reversed(pattern):
             if not 0 < s < self.symbols:
                 return 0
@@ -129,73 +155,135 @@ class FMIndex:
                 return 0
         return int(high[0] - low[0])
 
-    def groups_of(self, seq: np.ndarray, starts: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
-        """For every position of seq, the group of the window that starts there, or -1: matching statistics that reach threshold.
+    def least_of(self, seq: np.ndarray, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """For every place of seq, the least label of the window that starts there; _NONE where that is not in the index, or not asked for.
 
-        Streams texts [starts, starts + sizes) of seq, all of them indexed, from their ends, a word of each at a time.
+        Asked for: stretches of `windows` windows from `first` on. seq: symbols of the index, or 0 for what is none.
         """
-        out = np.full(len(seq), -1, np.int64)
-        order = np.argsort(-sizes, kind="stable")
-        starts, sizes = starts[order], sizes[order]
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.suffixes), np.int64)
-        for t in range(1, int(sizes[0]) + 1 if len(sizes) else 0):
-            live = int(np.searchsorted(-sizes, -t, side="right"))  # texts of t words at least
-            at = starts[:live] + sizes[:live] - t
-            low, high = self.step(seq[at], low[:live], high[:live])
-            if (low >= high).any():
-                raise AssertionError("a streamed segment is not in its shard's index")
-            if t >= threshold:
-                g = self.group[low]
-                out[at] = g
-                low, high = self.starts[g], self.ends[g]
+        out = np.full(len(seq), _NONE, np.int64)
+        m = self.threshold
+
+        def search(start, end, chain):
+            """Backward search of seq[start:end] from the end. Without chain, it ends with the first window or failure; returns where it failed."""
+            known = seq[end - 1] > 0
+            failed = [[start[~known]], [end[~known]]]
+            start, end = start[known], end[known]
+            symbol = seq[end - 1]
+            low, high, length = self.first[symbol], self.first[symbol + 1], np.ones(len(start), np.int64)
+            while len(start):
+                at = end - length - 1
+                symbol = seq[at]
+                low, high = self.step(symbol, low, high)
+                good = (low < high) & (symbol > 0)
+                if not good.all():
+                    failed[0].append(start[~good])
+                    failed[1].append(end[~good])
+                    start, end, low, high, length, at = (x[good] for x in (start, end, low, high, length, at))
+                length = length + 1
+                full = length == m
+                if full.any():
+                    place = at[full]
+                    out[place] = self.least[self.whole.ones(low[full] + 1) - 1]
+                    if not chain:
+                        return failed
+                    group = self.short.ones(low[full] + 1) - 1
+                    low[full], high[full] = self.starts[group], self.starts[group + 1]
+                    length[full], end[full] = m - 1, end[full] - 1
+                    going = ~full
+                    going[full] = place > start[full]
+                    start, end, low, high, length = (x[going] for x in (start, end, low, high, length))
+            return failed
+
+        pieces = -(-windows // _STRETCH)
+        own = np.repeat(np.arange(len(first)), pieces)
+        k = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = first[own] + k * _STRETCH
+        end = np.minimum(start + _STRETCH, first[own] + windows[own]) + m - 1
+        begun, stopped = map(np.concatenate, search(start, end, True))
+        n = np.maximum(stopped - m - begun, 0)  # windows without the last word of the failed one
+        at = np.repeat(begun, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        unknown = np.concatenate([[0], np.cumsum(seq == 0)])
+        at = at[unknown[at + m] == unknown[at]]
+        search(at, at + m, False)
         return out
 
 
 def _decide(items, w: Windows):
-    """Windows that also start in a smaller document than the one which waits.
-
-    Equal contents are settled before. A content that is alone under its anchor then shares no window, so it is neither indexed nor streamed.
-    """
-    several = Counter(c.anchor for _, c in items)
-    places = [i for i, (_, c) in enumerate(items) if several[c.anchor] > 1]
-    if not places:
-        return
-    items = [items[i] for i in places]
-    ids: dict[bytes, int] = {}
-    number = lambda x: ids.setdefault(x, len(ids) + 1)
-    texts = [list(map(number, x.split(b" "))) for x, _ in items]
-    sizes = np.array([len(t) for t in texts], np.int64)
-    seq = np.zeros(int(sizes.sum()) + len(texts) + 1, np.int64)
-    starts = np.cumsum(sizes + 1) - sizes  # a 0 before each text and one at the end
-    seq[np.repeat(starts, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.concatenate([np.array(t, np.int64) for t in texts])
-    index = FMIndex(seq, w.threshold)
-    group = index.groups_of(seq, starts, sizes, w.threshold)
-    low = np.full(len(seq), np.iinfo(np.int64).max)
-    low[np.repeat(starts, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.repeat(np.array([c.low for _, c in items], np.int64), sizes)
-    least = np.full(len(index.starts), np.iinfo(np.int64).max)
-    at = np.flatnonzero(group >= 0)
-    np.minimum.at(least, group[at], low[at])
+    """Windows that also start in a smaller document than the one which waits. Equal contents are settled before."""
+    groups = defaultdict(list)
     for i, (_, c) in enumerate(items):
-        if c.refs:
-            mask = least[group[starts[i] : starts[i] + c.n]] < c.low
-            if mask.any():
-                yield places[i], mask
-
-
+        groups[c.route].append(i)
+    groups = [v for v in groups.values() if len(v) > 1]  # a content alone under its anchor shares no window
+    if not groups:
+        return
+    rank = ranks(items)
+    for v in groups:
+        v.sort(key=lambda i: rank[i])
+    used = [i for v in groups for i in v]
+    place = dict(zip(used, range(len(used))))
+    data, starts, sizes = word_slices(pa.array([items[i][0] for i in used], pa.binary()))
+    symbols = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    masks = {i: np.zeros(items[i][1].n, bool) for i in used if items[i][1].refs}
+    size = 1
+    while groups:
+        indexed = [i for v in groups for at in range(0, len(v) - size, 2 * size) for i in v[at : at + size]]
+        streamed = [i for v in groups for at in range(size, len(v), 2 * size) for i in v[at : at + size] if i in masks and not masks[i].all()]
+        if streamed:
+            a, b = (np.array([place[i] for i in x], np.int64) for x in (indexed, streamed))
+            least = _stream(symbols, (first[a], sizes[a], rank[indexed]), (first[b], sizes[b]), w)
+            at = 0
+            for i, n in zip(streamed, sizes[b].tolist()):
+                masks[i] |= least[at : at + items[i][1].n] < rank[i]
+                at += n
+        size *= 2
+        groups = [v for v in groups if len(v) > size]
+    for i, mask in masks.items():
+        if mask.any():
+            yield i, mask
+
+
+def _places(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+def _stream(symbols: np.ndarray, indexed: tuple, streamed: tuple, w: Windows) -> np.ndarray:
+    """For every word of the streamed texts, the least rank in an index of the others of the window that starts there.
+
+    indexed: first places, sizes and ranks of texts in symbols; streamed: first places and sizes.
+    """
+    first, sizes, rank = indexed
+    words = symbols[_places(first, sizes)]
+    there = np.zeros(int(symbols.max()) + 1, bool)
+    there[words] = True
+    number = np.where(there, np.cumsum(there), 0)  # from 1 on; 0 for words that the index does not have
+    seq = np.zeros(len(words) + len(sizes) + 1, np.int64)
+    own = np.ones(len(seq), bool)
+    own[np.cumsum(sizes + 1) - sizes - 1], own[-1] = False, False  # a 0 before each text and one at the end
+    seq[own] = number[words]
+    labels = np.full(len(seq), _NONE, np.int64)
+    labels[own] = np.repeat(rank, sizes)
+    index = FMIndex(seq, w.threshold, labels)
+    first, sizes = streamed
+    return index.least_of(number[symbols[_places(first, sizes)]], np.cumsum(sizes) - sizes, sizes - w.threshold + 1)
+
+
+@frugal
 def _digest(rows):
-    for batch in rows:
-        out = [[], [], []]
-        for text, blobs in zip(batch.column("text"), batch.column("blobs").to_pylist()):
-            words = _words(memoryview(text.as_buffer()))
-            n = len(words)
-            gone = 0
-            if blobs:
-                mask = covered(blobs, n)
-                gone = int(mask.sum())
-                words = [x for x, z in zip(words, mask.tolist()) if not z]
-            for o, x in zip(out, (n, gone, hashlib.sha256(b" ".join(words)).hexdigest())):
-                o.append(x)
-        yield pa.RecordBatch.from_arrays([batch.column("dk"), *(pa.array(o, pa.int64()) for o in out[:2]), pa.array(out[2])], names=["dk", "n_words", "n_removed", "kept_sha256"])
+    for whole in rows:
+        for batch in text_slices(whole, "text"):
+            out = [[], [], []]
+            for text, blobs in zip(batch.column("text"), batch.column("blobs").to_pylist()):
+                words = _words(memoryview(text.as_buffer()))
+                n = len(words)
+                gone = 0
+                if blobs:
+                    mask = covered(blobs, n)
+                    gone = int(mask.sum())
+                    words = [x for x, z in zip(words, mask.tolist()) if not z]
+                for o, x in zip(out, (n, gone, hashlib.sha256(b" ".join(words)).hexdigest())):
+                    o.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(o, pa.int64()) for o in out[:2]), pa.array(out[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def cut_words(text: bytes, mask: np.ndarray) -> bytes:
@@ -209,13 +297,15 @@ def cut_words(text: bytes, mask: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+@frugal
 def _cut(rows):
-    for batch in rows:
-        texts = []
-        for text, blobs in zip(batch.column("text"), batch.column("blobs").to_pylist()):
-            b = bytes(memoryview(text.as_buffer()))
-            texts.append(cut_words(b, covered(blobs, len(b.split()))) if blobs else b)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([x is not None for x in batch.column("blobs").to_pylist()])], names=["row", "text", "changed"])
+    for whole in rows:
+        for batch in text_slices(whole, "text"):
+            texts = []
+            for text, blobs in zip(batch.column("text"), batch.column("blobs").to_pylist()):
+                b = bytes(memoryview(text.as_buffer()))
+                texts.append(cut_words(b, covered(blobs, len(b.split()))) if blobs else b)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary()).cast(pa.string())], names=["row", "text"])
 
 
 def repeated_word_spans(docs: DataFrame, threshold: int = 13, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -232,16 +322,15 @@ def remove_repeated_words(docs: DataFrame, threshold: int = 13, key: str = "doc_
     share a key with other texts are documents of their own. Other columns are ignored; an empty table gives no rows.
     """
     rows, spans = repeated_word_spans(docs, threshold, key, text)
-    out = with_spans(rows, spans).select("dk", "text", "blobs").mapInArrow(_digest, "dk long, n_words long, n_removed long, kept_sha256 string")
-    return out.select(key_column().alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    return with_spans(rows, spans).select(key_column().alias("doc_id"), "text", "blobs").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def drop_repeated_words(docs: DataFrame, threshold: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with those words cut out of the text, each with the white space after it; other columns and null texts stay."""
+    """docs with those words cut out of the text, each with the white space after it; other columns and null texts stay, and so do all rows."""
     rows = keyed(docs, key, text, carry=True)
     spans = repeated_spans(rows, word_windows(threshold), _decide, by_order=True)
     joined = with_spans(rows, spans)
-    schema = T.StructType([T.StructField("row", joined.schema["row"].dataType), T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())])
+    schema = T.StructType([T.StructField("row", joined.schema["row"].dataType), T.StructField("text", T.StringType())])
     out = joined.select("row", "text", "blobs").mapInArrow(_cut, schema)
     value = F.when(F.col("row")[text].isNotNull(), F.col("text")).alias(text)
     return out.select(*[F.col("row")[c].alias(c) if c != text else value for c in docs.columns])

@@ -1,10 +1,10 @@
 """Repeated byte windows by a depth-limited radix sort.
 
-Suffixes are ordered only through their first 200 bytes, most significant digit first: five digits of 40 bytes, each digit
-read as its 64-bit fingerprint. A pass splits every group of suffixes by its next digit; a suffix alone in its group is dropped, as it can't be
-repeated. The groups left after the last digit are the repeated windows, and their bytes are compared before they count.
+Suffixes are ordered only through their first 200 bytes, most significant digit first: 25 digits of eight bytes, read big-endian.
+A pass looks at the next digit of every suffix that is left; groups whose members differ in it are sorted by it and split, and a suffix alone in
+its group is dropped, as it can't be repeated. The groups left after the last digit are exactly the repeated windows, in byte order.
 
-The first pass runs across the cluster: windows meet in buckets by anchor (see anchors), so only suffixes that share one are ever sorted.
+The first pass runs across the cluster: windows meet in shards by anchor (see anchors), so only suffixes that share one are ever sorted.
 """
 
 from __future__ import annotations
@@ -14,125 +14,115 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from quillspark.llm.anchors import Windows, covered, key_column, keyed, repeated_spans, with_spans
+from quillspark.llm.tokenizer import column_bytes
+from quillspark.llm.worker import frugal, text_slices
 
-DIGIT, DIGITS = 40, 5
-_M, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Bytes of a digit.
+DIGIT = 8
 
 
-def _bytes(text) -> np.ndarray:
-    return np.frombuffer(text, np.uint8) if len(text) else np.zeros(0, np.uint8)
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, ends = column_bytes(texts)
+    return data, np.diff(ends)
 
 
 def _slices(text):
-    return lambda a, b: bytes(text[a:b])
+    return lambda a, b: bytes(text[a:b]) if b <= len(text) else b""
 
 
 def byte_windows(threshold: int = 200) -> Windows:
     if threshold < 64:
         raise ValueError("anchors take windows of 64 bytes at least")
-    return Windows(threshold, 32, _bytes, _slices)
-
-
-def _fingerprints(buf: np.ndarray, size: int) -> np.ndarray:
-    """Polynomial fingerprints of all runs of size bytes: by binary powers, put together."""
-    have, m, length = buf.astype(np.uint64) + np.uint64(1), _M, 1
-    out, out_len = None, 0
-    rest = size
-    with np.errstate(over="ignore"):
-        while rest:
-            if rest & 1:
-                if out is None:
-                    out, out_len = have, length
-                else:  # the longer run first, then what is put together so far
-                    n = len(buf) - length - out_len + 1
-                    out = have[:n] * _power(out_len) + out[length : length + n]
-                    out_len += length
-            rest >>= 1
-            if rest:
-                n = len(have) - length
-                have = have[:n] * m + have[length : length + n]
-                m, length = m * m, 2 * length
-    return out
+    return Windows(threshold, 32, _tokens, _slices)
+
 
+def big_endian(buf: np.ndarray) -> np.ndarray:
+    """The digit at each place of buf, as if zeros followed it."""
+    out = np.concatenate([buf, np.zeros(DIGIT - 1, np.uint8)]).astype(np.uint64)
+    size = 1
+    while size < DIGIT:
+        out = out[:-size] << np.uint64(8 * size) | out[size:]
+        size *= 2
+    return out
 
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(int(_M), n, 1 << 64))
 
+def radix_groups(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes whose first depth bytes another of starts has too, the number of each one's group), groups in byte order.
 
-def radix_groups(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, digits: int = DIGITS, digit: int = DIGIT) -> np.ndarray:
-    """Those of starts whose digits*digit bytes occur at another of them; group: suffixes of different groups are told apart already."""
-    fp = _fingerprints(buf, digit)
-    at, key = starts, group.astype(np.uint64)
-    for d in range(digits):
+    group: suffixes of different groups are told apart already; their order comes first. All suffixes have depth bytes.
+    """
+    digits = big_endian(buf)
+    order = np.argsort(group, kind="stable")
+    at, group = starts[order], group[order]
+    new = np.concatenate([[True], group[1:] != group[:-1]]) if len(at) else np.zeros(0, bool)
+    for done in range(0, depth, DIGIT):
+        edge = np.flatnonzero(new)
+        size = np.diff(np.append(edge, len(at)))
+        if (size == 1).any():
+            keep = np.repeat(size > 1, size)
+            at, new = at[keep], new[keep]
+            edge = np.flatnonzero(new)
+            size = np.diff(np.append(edge, len(at)))
         if not len(at):
-            return at
-        with np.errstate(over="ignore"):
-            key = (key ^ (key >> np.uint64(31))) * _MIX + fp[at + d * digit]
-        order = np.argsort(key)
-        at, key = at[order], key[order]
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(new, len(key)))
-        many = np.repeat(size > 1, size)
-        at, key = at[many], key[many]
-    # exact: every member against the first of its group; a group that isn't one is split by its bytes
-    if not len(at):
-        return at
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(new, len(key)))
-    first = np.repeat(at[new], size)
-    view = np.lib.stride_tricks.sliding_window_view(buf, digits * digit)
-    good = np.ones(len(at), bool)
-    for s in range(0, len(at), 50_000):
-        good[s : s + 50_000] = (view[at[s : s + 50_000]] == view[first[s : s + 50_000]]).all(axis=1)
-    if good.all():
-        return at
-    bad = np.repeat(np.logical_and.reduceat(good, new), size)
-    keep = [at[bad]]
-    for i in np.flatnonzero(~np.logical_and.reduceat(good, new)):
-        own = defaultdict(list)
-        for p in at[new[i] : new[i] + size[i]].tolist():
-            own[buf[p : p + digits * digit].tobytes()].append(p)
-        keep += [np.array(v) for v in own.values() if len(v) > 1]
-    return np.concatenate(keep)
+            break
+        d = digits[at + done]
+        if depth - done < DIGIT:  # bytes beyond the depth don't count
+            d = d >> np.uint64(8 * (DIGIT - depth + done))
+        differ = np.add.reduceat(d != np.repeat(d[edge], size), edge) > 0
+        if differ.any():
+            mine = np.flatnonzero(np.repeat(differ, size))
+            own = np.repeat(np.arange(len(size)), size)[mine]
+            order = mine[np.lexsort((d[mine], own))]
+            at[mine], d[mine] = at[order], d[order]
+            new[1:] |= d[1:] != d[:-1]
+    group = np.cumsum(new) - 1
+    size = np.bincount(group) if len(group) else np.zeros(0, np.int64)
+    keep = size[group] > 1
+    return at[keep], (np.cumsum(size > 1) - 1)[group[keep]]
 
 
 def _decide(items, w: Windows):
     by = defaultdict(list)
     for i, (_, c) in enumerate(items):
-        by[c.anchor].append(i)
+        by[c.route].append(i)
     # all windows of contents that occur twice are settled; a lone one of these tells nobody anything
     sorted_ones = [i for v in by.values() if len(v) > 1 or items[v[0]][1].times == 1 for i in v]
     if not sorted_ones:
         return
     n = np.array([items[i][1].n for i in sorted_ones], np.int64)
     size = np.array([len(items[i][0]) for i in sorted_ones], np.int64)
+    first = np.cumsum(size) - size
     buf = np.frombuffer(b"".join(items[i][0] for i in sorted_ones), np.uint8)
     own = np.repeat(np.arange(len(n)), n)
-    within = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-    starts = (np.cumsum(size) - size)[own] + within
-    anchor = np.array([items[i][1].anchor for i in sorted_ones], np.uint64)
-    digits, digit = (DIGITS, DIGIT) if w.threshold == DIGITS * DIGIT else (1, w.threshold)
-    found = radix_groups(buf, starts, anchor[own], digits, digit)
+    starts = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    route = np.array([items[i][1].route for i in sorted_ones], np.int64)
     mask = np.zeros(len(buf), bool)
-    mask[found] = True
-    for k, (i, a, m) in enumerate(zip(sorted_ones, (np.cumsum(size) - size).tolist(), n.tolist())):
+    mask[radix_groups(buf, starts, route[own], w.threshold)[0]] = True
+    for i, a, m in zip(sorted_ones, first.tolist(), n.tolist()):
         if items[i][1].refs and mask[a : a + m].any():
             yield i, mask[a : a + m]
 
 
+@frugal
 def _digest(rows):
-    for batch in rows:
-        out = [[], [], [], []]
-        for text, blobs in zip(batch.column("text"), batch.column("blobs").to_pylist()):
-            b = _bytes(memoryview(text.as_buffer()))
-            mask = covered(blobs, len(b))
-            edges = int(mask[:1].sum()) + int((mask[1:] & ~mask[:-1]).sum())
-            for o, x in zip(out, (len(b), int(mask.sum()), edges, hashlib.sha256(b[~mask].tobytes()).hexdigest())):
-                o.append(x)
-        yield pa.RecordBatch.from_arrays([batch.column("dk"), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3])], names=["dk", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    for whole in rows:
+        for batch in text_slices(whole, "text"):
+            out = [[], [], [], []]
+            for text, blobs in zip(batch.column("text"), batch.column("blobs").to_pylist()):
+                view = memoryview(text.as_buffer())
+                n = len(view)
+                if blobs:
+                    b, mask = np.frombuffer(view, np.uint8), covered(blobs, n)
+                    edges = int(mask[:1].sum()) + int((mask[1:] & ~mask[:-1]).sum())
+                    row = (n, int(mask.sum()), edges, hashlib.sha256(b[~mask].tobytes()).hexdigest())
+                else:
+                    row = (n, 0, 0, hashlib.sha256(view).hexdigest())
+                for o, x in zip(out, row):
+                    o.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeated_byte_spans(docs: DataFrame, threshold: int = 200, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -149,5 +139,4 @@ def remove_repeated_bytes(docs: DataFrame, threshold: int = 200, key: str = "doc
     stay null; rows that share a key are documents of their own. Other columns are ignored; an empty table gives no rows.
     """
     rows, spans = repeated_byte_spans(docs, threshold, key, text)
-    out = with_spans(rows, spans).select("dk", "text", "blobs").mapInArrow(_digest, "dk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(key_column().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return with_spans(rows, spans).select(key_column().alias("doc_id"), "text", "blobs").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
