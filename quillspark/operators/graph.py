@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.workspace import materialize
+from quillspark.workspace import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an undirected edge table; component is the smallest node of its component.
 
     Alternating large-star and small-star contraction (Kiveris et al., SoCC 2014): O(log n) rounds whatever the diameter,
-    each round two shuffles of at most the edge count, each written to the shared folder so lineage stays short. Hot nodes
+    each round two shuffles of at most the edge count, written to the shared folder in place of the round before, so lineage stays short. Hot nodes
     (a star centre with a third of the edges) are only ever aggregated by min(), which combines before the shuffle, and
     joined back, where adaptive execution splits a skewed side. Edges with a null end and self loops are ignored: a node
     that appears only in those is not returned.
@@ -22,7 +22,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = materialize(e.distinct(), "edges")
     before = None
     for _ in range(max_rounds):
-        e = materialize(_small_star(_large_star(e)), "edges")
+        after = materialize(_small_star(_large_star(e)), "edges")
+        discard(e)
+        e = after
         # a fixed point of both contractions is a set of stars, each centred on its smallest node
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == before:

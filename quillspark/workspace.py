@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Used by local sessions that name no folder, as tests do.
 _FALLBACK = "/tmp/quillspark-checkpoints"
 _written: dict[str, SparkSession] = {}
 #: The column of with_row_ids().
@@ -18,18 +19,30 @@ ROW = "__row"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _FALLBACK
+    """The cluster's checkpoint folder. A local session that names none has one of its own; on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _FALLBACK
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted by release()."""
+    path = f"{shared_folder(spark)}/quillspark-{label}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and return a frame that reads it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quillspark-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillspark_path = path
+    return out
 
 
 def with_row_ids(df: DataFrame) -> DataFrame:
@@ -37,16 +50,27 @@ def with_row_ids(df: DataFrame) -> DataFrame:
     return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
+def _delete(path: str, spark: SparkSession) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone by then
+        pass
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that materialize() returned. What is read from them ends with them."""
+    for df in frames:
+        path = getattr(df, "_quillspark_path", None)
+        if path in _written:
+            _delete(path, _written.pop(path))
+
+
 def release() -> None:
-    """Delete every table that materialize() wrote in this process. Runs at exit too; frames read from them end with it."""
+    """Delete every table of this process in the shared folder. Runs at exit too; frames read from them end with it."""
     while _written:
-        path, spark = _written.popitem()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone by then
-            pass
+        _delete(*_written.popitem())
 
 
 atexit.register(release)
