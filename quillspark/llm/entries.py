@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.exact_dedup import exact_duplicates
@@ -16,7 +14,7 @@ from quillspark.llm.suffix_dedup import remove_repeated_bytes
 from quillspark.llm.token_counts import count_tokens
 from quillspark.llm.token_files import read_token_files, write_token_files
 from quillspark.llm.url_filter import prefix_rule, judge_urls, word_rule
-from quillspark.workspace import shared_folder
+from quillspark.workspace import scratch
 
 #: The contract's rules: action, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -58,7 +56,7 @@ def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/quillspark-token-files-{uuid.uuid4().hex}"
+    path = scratch(spark, "token-files")
     write_token_files(_docs(spark, sf_dir), path, tokenizer_file("byte_bpe_50k.json"), 2)
     return read_token_files(spark, path)
 

@@ -2,22 +2,32 @@
 
 Base rules reject texts that are short or repeat themselves. Of the rest, each text's transformed statistics (mean word
 length, symbols per word, share of repeated lines, share of repeated words) are held against the minimum-covariance-determinant
-(MCD) estimate of its language and source: the mean and covariance of the 75 % of rows that lie closest together, found by
-concentration steps from the coordinate medians. A text is rejected when its squared Mahalanobis distance exceeds CUTOFF.
+(MCD) estimate of its language and source: mean and covariance of the 75 % of rows whose covariance has the least determinant. A
+text is rejected when its squared Mahalanobis distance exceeds CUTOFF.
 
-Every concentration step is one pass over a narrow table: rows are counted and their moments summed per group and
-distance bin, so that the closest 75 % and their moments come from the same small result. Statistics are fixed-point integers, so sums are
-exact and the verdicts don't depend on how rows are dealt out.
+The subset is searched for by concentration steps from three deterministic starts (medians with a fixed spread, medians with median
+deviations, mean and covariance of all rows), each until its determinant falls by less than a thousandth; of the three, the least determinant counts. A
+spread TOLERANCE is added to every covariance, also in the determinant, as in regularised MCD, so small or constant groups have one too.
+
+Groups are of any size. An estimate of n rows counts n : PRIOR against the one above it, a group's against its language's, a
+language's against that of all rows. With its share a, the spread between the two means adds a^2 (1 - a) of its square: a group of many
+rows that lies apart is excused, a single row can't excuse itself.
+
+Every step is one pass over a narrow table: rows are counted and their moments summed per group and distance bin, so that the
+closest 75 % and their moments come from the same small result; rows of the bin at the limit count by the fraction that is missing.
+Statistics are fixed-point integers, so sums are exact and the verdicts don't depend on how rows are dealt out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillspark.workspace import materialize
+from quillspark.workspace import discard, materialize
 
 _SPACE, _WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 FEATURES = ("x_length", "x_symbols", "x_lines", "x_repeats")
+_DIM = len(FEATURES)
+_PAIRS = [(i, j) for i in range(_DIM) for j in range(i + 1)]
 #: Thousandths; a floor on the spread of each statistic, squared and added to its variance, so that a group in which a
 #: statistic hardly varies (no symbols at all, say) doesn't reject a text for its first one. Those of lines and words are a little over
 #: the spread in groups of clean texts (medians on sf0.1: 503 and 426), so that 24 % of either are enough to reject alone.
@@ -27,11 +37,13 @@ CUTOFF = 28.47
 SHARE = 0.75
 #: Makes the covariance of the closest 75 % consistent for normal data of 4 dimensions.
 CONSISTENCY = 1.485
-STEPS = 3
-#: Smaller groups are pooled, by language and then altogether; a pool that is smaller still judges by the base rules only.
-LEAST_GROUP = 40
+#: Concentration steps at most, and the share of a determinant that a step must take off to be followed by another.
+STEPS, SETTLED = 12, 1e-3
+#: Rows by which an estimate is drawn to the one above it.
+PRIOR = 40
 #: Estimates (about 200 bytes a group) are broadcast up to so many groups, and joined by a shuffle beyond.
 BROADCAST_GROUPS = 100_000
+_STARTS = 3
 
 
 def base_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -82,104 +94,178 @@ def _features(stats: DataFrame) -> DataFrame:
     return stats.withColumns({c: _fixed(v) for c, v in zip(FEATURES, values)})
 
 
-def _groups(stats: DataFrame, by: tuple[str, ...], least: int) -> DataFrame:
-    """(by..., grp): the group that each combination is judged in; null grp: too few rows anywhere."""
-    sizes = stats.where(~F.col("base_failed")).groupBy(*by).agg(F.count("*").alias("n"))
-    name = lambda *cs: F.to_json(F.struct(*cs), {"ignoreNullFields": "false"})
-    one = sizes.withColumn("grp", F.when(F.col("n") >= least, name(F.lit(0).alias("level"), *by)))
-    # pools are made of what is left, language first
-    small = one.where("grp IS NULL").groupBy(by[0]).agg(F.sum("n").alias("m")).where(F.col("m") >= least).select(F.col(by[0]).alias("__lang"), name(F.lit(1).alias("level"), by[0]).alias("pool"))
-    two = one.join(small, one[by[0]].eqNullSafe(small["__lang"]), "left").withColumn("grp", F.coalesce("grp", "pool")).select(*by, "n", "grp")
-    rest = two.where("grp IS NULL").agg(F.sum("n").alias("rest"))
-    return two.crossJoin(F.broadcast(rest)).select(*by, F.coalesce("grp", F.when(F.col("rest") >= least, F.lit("{}"))).alias("grp"))  # rest is one row
-
-
 def _with_bound(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_GROUPS else df
 
 
-def _medians(rows: DataFrame) -> DataFrame:
-    """Coordinate medians of each group, from counts of the distinct values."""
-    long = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in FEATURES])).alias("x")).select("grp", "x.c", "x.v")
-    counts = long.groupBy("grp", "c", "v").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("grp", "c")
-    run = counts.withColumns({"upto": F.sum("n").over(w.orderBy("v")), "all": F.sum("n").over(w)})
-    median = run.where("2 * upto >= all").groupBy("grp", "c").agg(F.min("v").alias("v"))
-    return median.groupBy("grp").agg(*[F.max(F.when(F.col("c") == c, F.col("v"))).cast("double").alias(f"mu{i}") for i, c in enumerate(FEATURES)])
-
-
-def _whitener(estimates: DataFrame) -> DataFrame:
-    """Adds m{i}{j}, the inverse of the Cholesky factor of s{i}{j}, so that distances are sums of squares."""
-    d, e = len(FEATURES), estimates
-    for i in range(d):
-        for j in range(i + 1):
-            rest = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            value = F.sqrt(F.col(f"s{i}{i}") - rest) if i == j else (F.col(f"s{i}{j}") - rest) / F.col(f"l{j}{j}")
-            e = e.withColumn(f"l{i}{j}", value)
-    for j in range(d):
-        for i in range(j, d):
+def _written(df: DataFrame, groups: int, label: str) -> DataFrame:
+    return materialize(df.coalesce(4) if groups <= BROADCAST_GROUPS else df, label)
+
+
+def _sums() -> list[Column]:
+    return [F.count("*").alias("n")] + [F.sum(c).alias(f"t{i}") for i, c in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in _PAIRS]
+
+
+def _from_moments(n: Column, t: list[Column], q: dict[tuple[int, int], Column], scale: float) -> dict[str, Column]:
+    """Means and regularised covariances from sums."""
+    out = {f"mu{i}": t[i] / n for i in range(_DIM)}
+    for i, j in _PAIRS:
+        out[f"s{i}{j}"] = scale * (q[i, j] / n - t[i] / n * t[j] / n) + (TOLERANCE[i] ** 2 if i == j else 0)
+    return out
+
+
+_ESTIMATE = [f"mu{i}" for i in range(_DIM)] + [f"s{i}{j}" for i, j in _PAIRS]
+
+
+def _with_factor(e: DataFrame) -> DataFrame:
+    """Adds l{i}{j}, the Cholesky factor of s{i}{j}."""
+    for i, j in sorted(_PAIRS, key=lambda p: (p[0], p[1])):
+        rest = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+        e = e.withColumn(f"l{i}{j}", F.sqrt(F.col(f"s{i}{i}") - rest) if i == j else (F.col(f"s{i}{j}") - rest) / F.col(f"l{j}{j}"))
+    return e
+
+
+def _with_determinant(e: DataFrame) -> DataFrame:
+    columns = e.columns
+    product = F.lit(1.0)
+    for i in range(_DIM):
+        product = product * F.col(f"l{i}{i}") * F.col(f"l{i}{i}")
+    return _with_factor(e).select(*columns, product.alias("det"))
+
+
+def _whitener(e: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, mu{i} and m{i}{j}, the inverse of the Cholesky factor of s{i}{j}, so that distances are sums of squares."""
+    e = _with_factor(e)
+    for j in range(_DIM):
+        for i in range(j, _DIM):
             rest = sum((F.col(f"l{i}{k}") * F.col(f"m{k}{j}") for k in range(j, i)), F.lit(0.0))
             e = e.withColumn(f"m{i}{j}", (F.lit(1.0 if i == j else 0.0) - rest) / F.col(f"l{i}{i}"))
-    return e.select("grp", *[f"mu{i}" for i in range(d)], *[f"m{i}{j}" for i in range(d) for j in range(i + 1)])
+    return e.select(*keys, *[f"mu{i}" for i in range(_DIM)], *[f"m{i}{j}" for i, j in _PAIRS])
 
 
 def _distance() -> Column:
-    d = len(FEATURES)
     total = F.lit(0.0)
-    for i in range(d):
+    for i in range(_DIM):
         y = sum((F.col(f"m{i}{j}") * (F.col(FEATURES[j]) - F.col(f"mu{j}")) for j in range(i + 1)), F.lit(0.0))
         total = total + y * y
     return total
 
 
+def _members(rows: DataFrame) -> DataFrame:
+    """Rows (grps, features) once for each of their groups."""
+    return rows.select(F.explode("grps").alias("grp"), *FEATURES)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(grp, start, det, mu, s): three starts of each group. Their determinants are infinite, as no subset has them."""
+    rows = _members(rows)
+    middle = [F.median(c).alias(f"md{i}") for i, c in enumerate(FEATURES)]
+    whole = rows.groupBy("grp").agg(*_sums(), *middle)
+    off = rows.join(whole.select("grp", *[f"md{i}" for i in range(_DIM)]), "grp")
+    spread = off.groupBy("grp").agg(*[F.median(F.abs(F.col(c) - F.col(f"md{i}"))).alias(f"sp{i}") for i, c in enumerate(FEATURES)])
+    both = whole.join(spread, "grp")
+    median = {f"mu{i}": F.col(f"md{i}") for i in range(_DIM)}
+    diagonal = lambda extra: {f"s{i}{j}": (TOLERANCE[i] ** 2 + extra(i) if i == j else F.lit(0.0)) for i, j in _PAIRS}
+    kinds = [
+        median | diagonal(lambda i: F.lit(0.0)),
+        median | diagonal(lambda i: F.pow(1.4826 * F.col(f"sp{i}"), 2)),
+        _from_moments(F.col("n"), [F.col(f"t{i}") for i in range(_DIM)], {p: F.col(f"q{p[0]}{p[1]}") for p in _PAIRS}, 1.0),
+    ]
+    one = lambda k, e: F.struct(F.lit(k).alias("start"), *[e[c].cast("double").alias(c) for c in _ESTIMATE])
+    return both.select("grp", F.explode(F.array(*[one(k, e) for k, e in enumerate(kinds)])).alias("e")).select("grp", "e.*", F.lit(float("inf")).alias("det"))
+
+
 def _concentrate(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
-    """One step: mean and covariance of the closest SHARE of each group under the estimates it has."""
-    d = len(FEATURES)
-    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    placed = rows.join(_with_bound(estimates, groups), "grp").withColumn("bin", F.floor(16 * F.log2(1 + _distance())).cast("int"))
-    sums = [F.count("*").alias("n")] + [F.sum(c).alias(f"t{i}") for i, c in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in pairs]
-    bins = placed.groupBy("grp", "bin").agg(*sums)
-    w = Window.partitionBy("grp")
-    run = bins.withColumns({"before": F.sum("n").over(w.orderBy("bin")) - F.col("n"), "all": F.sum("n").over(w)})
-    close = run.where(F.col("before") < SHARE * F.col("all")).groupBy("grp").agg(*[F.sum(c).alias(c) for c in bins.columns if c not in ("grp", "bin")])
-    out = {f"mu{i}": F.col(f"t{i}") / F.col("n") for i in range(d)}
-    for i, j in pairs:
-        value = CONSISTENCY * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"t{i}") / F.col("n") * F.col(f"t{j}") / F.col("n"))
-        out[f"s{i}{j}"] = value + (TOLERANCE[i] ** 2 if i == j else 0)
-    return _whitener(close.select("grp", *[v.alias(k) for k, v in out.items()]))
-
-
-def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source"), least: int = LEAST_GROUP) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance (null: none), kept.
+    """One step: mean, covariance and determinant of the closest SHARE of each group under each estimate that it has."""
+    placed = _members(rows).join(_with_bound(_whitener(estimates, ["grp", "start"]), groups), "grp").withColumn("bin", F.floor(16 * F.log2(1 + _distance())).cast("int"))
+    bins = placed.groupBy("grp", "start", "bin").agg(*_sums())
+    w = Window.partitionBy("grp", "start")
+    run = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "h": SHARE * F.sum("n").over(w)})
+    inside, part = F.col("upto") <= F.col("h"), (F.col("h") - F.col("upto") + F.col("n")) / F.col("n")
+    at_limit = ~inside & (part > 0)
+    names = [f"t{i}" for i in range(_DIM)] + [f"q{i}{j}" for i, j in _PAIRS]
+    total = lambda c: F.coalesce(F.sum(F.when(inside, F.col(c))), F.lit(0)) + F.coalesce(F.max(F.when(at_limit, part * F.col(c))), F.lit(0.0))
+    close = run.groupBy("grp", "start").agg(F.max("h").alias("h"), *[total(c).alias(c) for c in names])
+    found = _from_moments(F.col("h"), [F.col(f"t{i}") for i in range(_DIM)], {p: F.col(f"q{p[0]}{p[1]}") for p in _PAIRS}, CONSISTENCY)
+    return _with_determinant(close.select("grp", "start", *[found[c].alias(c) for c in _ESTIMATE]))
+
+
+def least_determinants(rows: DataFrame, groups: int, steps: int = STEPS) -> DataFrame:
+    """(grp, mu, s, det) of every group of rows (grps: array of groups, features): what the start with the least determinant settled on."""
+    key = ["grp", "start"]
+    now = _written(_starts(rows).withColumn("falls", F.lit(True)), groups, "quality-start")
+    for _ in range(steps):
+        new = _concentrate(rows, now.where("falls").drop("falls", "det"), groups)
+        old = now.select(*key, F.struct(*_ESTIMATE, "det", "falls").alias("old"))
+        both = old.join(new.select(*key, F.struct(*_ESTIMATE, "det").alias("new")), key, "left")
+        better = F.coalesce(F.col("new.det") < F.col("old.det") * (1 - SETTLED), F.lit(False))
+        chosen = [F.when(better, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in (*_ESTIMATE, "det")]
+        after = _written(both.select(*key, *chosen, better.alias("falls")), groups, "quality-step")
+        discard(now)
+        now = after
+        if now.where("falls").isEmpty():
+            break
+    best = now.groupBy("grp").agg(F.min(F.struct("det", "start", *_ESTIMATE)).alias("e"))
+    return best.select("grp", *[F.col(f"e.{c}") for c in (*_ESTIMATE, "det")])
+
+
+def _blend(own: str, n: str, above: str) -> list[Column]:
+    """The estimate `own` of n rows, drawn to the one above; both are structs."""
+    a = F.col(n) / (F.col(n) + PRIOR)
+    d = [F.col(f"{own}.mu{i}") - F.col(f"{above}.mu{i}") for i in range(_DIM)]
+    mean = [(a * F.col(f"{own}.mu{i}") + (1 - a) * F.col(f"{above}.mu{i}")).alias(f"mu{i}") for i in range(_DIM)]
+    return mean + [(a * F.col(f"{own}.s{i}{j}") + (1 - a) * F.col(f"{above}.s{i}{j}") + a * a * (1 - a) * d[i] * d[j]).alias(f"s{i}{j}") for i, j in _PAIRS]
+
+
+def group_estimates(scored: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
+    """(estimates of every combination of by with its columns mu and s, how many there are), of rows (by..., base_failed, features)."""
+    rows = scored.where(~F.col("base_failed")).select(*by, *FEATURES)
+    outer, n_by = by[:1], [F.col(c) for c in by]
+    # ids of groups, even, and of the first of by, odd; -1 is the group of all rows
+    groups = materialize(rows.groupBy(*by).agg(F.count("*").alias("n")).withColumn("id", 2 * F.monotonically_increasing_id()), "quality-groups")
+    count = groups.count()
+    outers = materialize(groups.groupBy(*outer).agg(F.sum("n").alias("m")).withColumn("oid", 2 * F.monotonically_increasing_id() + 1), "quality-groups")
+    same = lambda a, b, cs: [a[c].eqNullSafe(b[f"__{c}"]) for c in cs]
+    alias = lambda df, cs, *rest: df.select(*[F.col(c).alias(f"__{c}") for c in cs], *rest)
+    to_outer = alias(outers, outer, "oid", "m")
+    groups = groups.join(_with_bound(to_outer, count), same(groups, to_outer, outer)).select(*by, "n", "m", "id", "oid")
+    to_group = alias(groups, by, "id", "oid")
+    placed = rows.join(_with_bound(to_group, count), same(rows, to_group, by)).select(F.array("id", "oid", F.lit(-1).cast("long")).alias("grps"), *FEATURES)
+    found = least_determinants(materialize(placed, "quality-rows"), count).select("grp", F.struct(*_ESTIMATE).alias("e"))
+    everything = found.where("grp = -1").select(F.col("e").alias("top"))
+    middle = found.where("grp % 2 = 1").select(F.col("grp").alias("oid"), F.col("e").alias("mid"))
+    own = found.where("grp % 2 = 0").select(F.col("grp").alias("id"), F.col("e").alias("own"))
+    every = groups.crossJoin(F.broadcast(everything)).join(_with_bound(middle, count), "oid")  # everything is one row
+    every = every.withColumn("mid", F.struct(*_blend("mid", "m", "top"))).join(_with_bound(own, count), "id")
+    return _written(_whitener(every.select(*n_by, *_blend("own", "n", "mid")), by), count, "quality-estimates"), count
+
+
+def _scored(docs: DataFrame, key: str, text: str, by: tuple[str, ...], carry: bool) -> DataFrame:
+    """A written table: statistics and features of every row, its groups by0, by1 ..., and all its columns as `row` if carry."""
+    own = docs.select(*[F.col(c).alias(f"by{i}") for i, c in enumerate(by)], F.col(key).alias("__key"), F.col(text).alias("__text"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    extra = (*[f"by{i}" for i in range(len(by))], *(("row",) if carry else ()))
+    stats = base_statistics(own, "__key", "__text", extra)
+    return materialize(_features(stats.withColumn("base_failed", base_failed())), "quality")
+
+
+def _judged(scored: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    names = [f"by{i}" for i in range(len(by))]
+    estimates, count = group_estimates(scored, names)
+    to_group = estimates.select(*[F.col(c).alias(f"__{c}") for c in names], *[c for c in estimates.columns if c not in names])
+    joined = scored.join(_with_bound(to_group, count), [scored[c].eqNullSafe(to_group[f"__{c}"]) for c in names], "left")
+    return joined.withColumn("distance", F.when(~F.col("base_failed"), _distance())).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= CUTOFF))
+
+
+def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance (null if so), kept.
 
     One row per row of docs, repeated rows too. Null texts have no words and fail the base rules. Null languages and sources
-    are values like others. Groups of under `least` rows are pooled by language, then altogether. Other columns are ignored;
-    an empty table gives no rows.
+    are values like others. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    stats = base_statistics(docs.select(key, text, *by), key, text, by)
-    stats = _features(stats.withColumn("base_failed", base_failed()))
-    stats = materialize(stats.select("doc_id", *[F.col(c).alias(f"by{i}") for i, c in enumerate(by)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *FEATURES), "quality")
-    names = tuple(f"by{i}" for i in range(len(by)))
-    groups = materialize(_groups(stats, names, least), "quality-groups")
-    n = groups.count()
-    to_group = _with_bound(groups.select(*[F.col(c).alias(f"__{c}") for c in names], "grp"), n)
-    same = [stats[c].eqNullSafe(to_group[f"__{c}"]) for c in names]
-    grouped = stats.join(to_group, same, "left").drop(*[f"__{c}" for c in names])
-    rows = grouped.where(~F.col("base_failed") & F.col("grp").isNotNull()).select("grp", *FEATURES)
-    start = _medians(rows)
-    d = len(FEATURES)
-    for i in range(d):
-        for j in range(i + 1):
-            start = start.withColumn(f"s{i}{j}", F.lit(float(TOLERANCE[i] ** 2) if i == j else 0.0))
-    estimates = materialize(_whitener(start), "quality-start")
-    for _ in range(STEPS):
-        estimates = materialize(_concentrate(rows, estimates, n), "quality-step")
-    judged = grouped.join(_with_bound(estimates, n), "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
-
-
-def keep_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source"), least: int = LEAST_GROUP) -> DataFrame:
-    """The rows of docs that judge_quality keeps, with all their columns; keys are unique, as in `documents`."""
-    kept = judge_quality(docs, key, text, by, least).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs[key].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
+    judged = _judged(_scored(docs, key, text, by, False), by)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+
+
+def keep_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """The rows of docs that judge_quality keeps, with all their columns: each is judged by itself, whatever its key."""
+    return _judged(_scored(docs, key, text, by, True), by).where("kept").select("row.*")

@@ -254,52 +254,89 @@ def test_base_statistics(docs, rows):
     assert got(quality.base_statistics(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") == want
 
 
+def feature_rows(out, rows):
+    """The transformed statistics of the rows that pass the base rules, recomputed from the texts."""
+    x = {}
+    for i, text, *_ in rows:
+        if not out[i]["base_failed"]:
+            w, lines = text.split(), [t for t in text.split("\n") if t.split()]
+            share = lambda a, b: np.log(1 + 100 * a / b)
+            v = [np.log(1 + sum(map(len, w)) / len(w)), share(sum(c in "#*$%&|<>" for c in text), len(w)), share(len(lines) - len(set(lines)), len(lines)), share(out[i]["n_repeat_words"], len(w))]
+            x[i] = np.round(1000 * np.array(v))
+    return x
+
+
+def regularised_mcd(x, tries=60):
+    """Least determinant by exact concentration steps from random starts."""
+    rnd, tol, h = np.random.default_rng(4), np.diag(np.square(np.array(quality.TOLERANCE, float))), int(np.ceil(quality.SHARE * len(x)))
+    best = np.inf
+    for _ in range(tries):
+        own = rnd.choice(len(x), min(len(x), 6), replace=False)
+        last = np.inf
+        while True:
+            mu, cov = x[own].mean(axis=0), quality.CONSISTENCY * np.cov(x[own].T, bias=True) + tol
+            det = np.linalg.det(cov) if len(own) == h else np.inf
+            if det >= last * (1 - 1e-9) and len(own) == h:
+                break
+            last = det
+            own = np.argsort(np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu), kind="stable")[:h]
+        best = min(best, last)
+    return best
+
+
 def test_quality_against_numpy(spark, empty):
     rnd = random.Random(2)
     rows = []
-    for i in range(300):
-        lang, source = ("en", "a") if i % 3 else ("en", f"b{i % 9}") if i % 2 else (None, None)
+    for i in range(400):
+        lang, source = ("en", "a") if i % 3 else ("en", f"b{i % 9}") if i % 2 else (None, None) if i % 4 else ("de", f"c{i}")
         words = [rnd.choice("abcdefgh") * rnd.randrange(2, 8) + str(rnd.randrange(500)) for _ in range(rnd.randrange(55, 150))]
         if i % 20 == 0:
             words = [w + "###" for w in words]
-        rows.append((i, " ".join(words), lang, source))
+        rows.append((i, " ".join(words) + "\n" + "\n".join(rnd.choice(["x", "y", "zz"]) for _ in range(rnd.randrange(1, 6))), lang, source))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     out = {r["doc_id"]: r for r in quality.judge_quality(df).collect()}
-    size = Counter((r[2], r[3]) for r in rows)
-    by = {k: k if n >= quality.LEAST_GROUP else None for k, n in size.items()}
-    pool = Counter()
-    for k, n in size.items():
-        if by[k] is None:
-            pool[k[0]] += n
-    rest = sum(n for k, n in pool.items() if n < quality.LEAST_GROUP)
-    for k in size:
-        if by[k] is None:
-            by[k] = ("pool", k[0]) if pool[k[0]] >= quality.LEAST_GROUP else "all" if rest >= quality.LEAST_GROUP else None
-    groups = defaultdict(list)
-    for r in rows:
-        w = r[1].split()
-        x = [np.log(1 + sum(map(len, w)) / len(w)), np.log(1 + 100 * sum(c in "#*$%&|<>" for c in r[1]) / len(w)), 0.0, np.log(1 + 100 * out[r[0]]["n_repeat_words"] / len(w))]
-        groups[by[r[2], r[3]]].append((r[0], np.round(1000 * np.array(x))))
-    tol = np.diag(np.square(np.array(quality.TOLERANCE, float)))
+    x = feature_rows(out, rows)
+    groups = {"all": list(x)}
+    for i, _, lang, source in rows:
+        if i in x:
+            groups.setdefault(lang, []).append(i)
+            groups.setdefault((lang, source), []).append(i)
+    number = {g: k for k, g in enumerate(groups)}
+    table = [([number[g] for g, own in groups.items() if i in own], *map(int, v)) for i, v in x.items()]
+    found = {r["grp"]: r for r in quality.least_determinants(spark.createDataFrame(table, "grps array<long>, " + ", ".join(f"{c} long" for c in quality.FEATURES)), len(groups)).collect()}
     for g, own in groups.items():
-        x = np.array([v for _, v in own])
-        mu, cov = np.sort(x, axis=0)[(len(x) - 1) // 2], tol
-        for _ in range(quality.STEPS):
-            d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
-            bins = np.floor(16 * np.log2(1 + d))
-            upto = np.sort(bins)[int(np.ceil(quality.SHARE * len(x))) - 1]
-            h = x[bins <= upto]
-            mu, cov = h.mean(axis=0), quality.CONSISTENCY * np.cov(h.T, bias=True) + tol
-        d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
-        for (i, _), v in zip(own, d):
-            if g is None:
-                assert out[i]["distance"] is None and out[i]["kept"]
-            else:
-                assert abs(out[i]["distance"] - v) < 1e-6 * max(1, v)
-                assert out[i]["kept"] == (v <= quality.CUTOFF)
-    assert {i for i in out if not out[i]["kept"]} == {i for i in range(0, 300, 20)}
-    assert quality.judge_quality(empty).count() == 0
-    assert quality.keep_quality(df).columns == df.columns
+        if len(own) >= 8:  # the subset's 75 % is a whole number of rows there, or nearly
+            assert found[number[g]]["det"] <= 1.05 * regularised_mcd(np.array([x[i] for i in own]))
+    mean = lambda e: np.array([e[f"mu{i}"] for i in range(4)])
+    cov = lambda e: np.array([[e[f"s{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)])
+
+    def blend(n, own, above):
+        a, d = n / (n + quality.PRIOR), own[0] - above[0]
+        return a * own[0] + (1 - a) * above[0], a * own[1] + (1 - a) * above[1] + a * a * (1 - a) * np.outer(d, d)
+
+    estimate = {g: (mean(found[k]), cov(found[k])) for g, k in number.items()}
+    for i, _, lang, source in rows:
+        if i not in x:
+            assert not out[i]["kept"] and out[i]["distance"] is None
+            continue
+        mu, s = blend(len(groups[lang, source]), estimate[lang, source], blend(len(groups[lang]), estimate[lang], estimate["all"]))
+        d = (x[i] - mu) @ np.linalg.inv(s) @ (x[i] - mu)
+        assert abs(out[i]["distance"] - d) < 1e-6 * max(1, d)
+        assert out[i]["kept"] == (d <= quality.CUTOFF)
+    assert {i for i in out if not out[i]["kept"]} >= {i for i in range(0, 400, 20)}
+    assert sum(not r["kept"] for r in out.values()) <= 24
+    assert quality.judge_quality(empty).count() == 0 and quality.keep_quality(empty).count() == 0
+
+
+def test_small_groups_are_judged(spark):
+    """A text is judged alike whether its source has one row or many."""
+    rnd = random.Random(6)
+    text = lambda mark: " ".join(rnd.choice("abcdefgh") * rnd.randrange(2, 8) + str(rnd.randrange(500)) + mark for _ in range(90))
+    rows = [(i, text(""), "en", "big") for i in range(60)] + [(100, text("###"), "en", "lone"), (101, text("###"), "fr", "lone"), (102, text(""), "en", "one"), (103, text(""), None, None)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [i for i in kept if not kept[i]] == [100, 101]
+    alone = spark.createDataFrame(rows[:3], "doc_id long, text string, lang string, source string")
+    assert all(r["kept"] for r in quality.judge_quality(alone).collect())
 
 
 def brute_words(rows, n):
