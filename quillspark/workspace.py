@@ -67,10 +67,15 @@ def discard(*frames: DataFrame) -> None:
             _delete(path, _written.pop(path))
 
 
-def release() -> None:
-    """Delete every table of this process in the shared folder. Runs at exit too; frames read from them end with it."""
-    while _written:
-        _delete(*_written.popitem())
+def tables() -> set[str]:
+    """Paths of the tables of this process that are in the shared folder now."""
+    return set(_written)
+
+
+def release(paths: set[str] | None = None) -> None:
+    """Delete the tables at paths, or all of this process. Runs at exit too; frames read from them end with it."""
+    for path in tables() if paths is None else tables() & paths:
+        _delete(path, _written.pop(path))
 
 
 atexit.register(release)
