@@ -16,8 +16,8 @@ An anchor that more than HOT segments have (the edges of a passage that a third
 context) is not a route of its own: its segments are sent window by window, routed by the window's hash. Nothing is capped.
 
 A row is named by 128 bits of hashes of its key, whether that is null, and its text; rows that are alike in all of these share a name,
-are looked at twice at most in a task, and have the same spans. The first 64 bits alone tell who asked: if two names clash
-there, both get both answers, which sends some segments in vain and changes nothing. Lost executors cost the usual recomputation.
+are looked at twice at most in a task, and have the same spans. Questions carry the first 64 bits and a tag of 32 of the others.
+Lost executors cost the usual recomputation.
 """
 
 from __future__ import annotations
@@ -52,11 +52,11 @@ BROADCAST_HOT = 500_000
 _BUCKET_BYTES, _MOST_BUCKETS = 8 << 20, 1 << 20
 
 _DEALT = "bucket int, name long, blob binary"
-_ANSWER = "name long, anchor long, start int, n int, hot long"
+_ANSWER = "name long, tag int, anchor long, start int, n int, hot long"
 _CONTENT = "route long, low long, last boolean, n int, times int, content binary, blob binary"
 _FOUND = "bucket int, blob binary"
-_ASK = np.dtype([("anchor", "<u8"), ("name", "<i8"), ("start", "<u4"), ("n", "<u4"), ("note", "<u4")])
-_SEG = np.dtype([("anchor", "<u8"), ("start", "<u4"), ("n", "<u4")])
+_ASK = np.dtype([("anchor", "<u8"), ("name", "<i8"), ("tag", "<i4"), ("start", "<u4"), ("n", "<u4"), ("note", "<u4")])
+_SEG = np.dtype([("anchor", "<u8"), ("tag", "<i4"), ("start", "<u4"), ("n", "<u4")])
 _REF = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("start", "<u4")])
 SPAN = np.dtype([("start", "<u4"), ("n", "<u4")])
 _NAMED = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("start", "<u4"), ("n", "<u4")])
@@ -115,7 +115,7 @@ def segments(tokens: np.ndarray, lengths: np.ndarray, w: Windows) -> tuple[np.nd
     return first[new], np.add.reduceat(n, new), anchor[new], np.diff(np.append(new, len(first)))
 
 
-def _all_segments(names: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, w: Windows) -> Iterator[np.ndarray]:
+def _all_segments(names: np.ndarray, tags: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, w: Windows) -> Iterator[np.ndarray]:
     """Segment records (_ASK; note holds the anchor's occurrences, 2 for more) of documents that lie one after another in tokens."""
 
     def out(blocks):
@@ -125,7 +125,7 @@ def _all_segments(names: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, w:
         starts = np.cumsum(size) - size
         own = np.searchsorted(starts, first, side="right") - 1
         r = np.zeros(len(first), _ASK)
-        r["anchor"], r["n"], r["note"], r["name"] = anchor, n, np.minimum(occ, 2), names[doc[own]]
+        r["anchor"], r["n"], r["note"], r["name"], r["tag"] = anchor, n, np.minimum(occ, 2), names[doc[own]], tags[doc[own]]
         r["start"] = first - starts[own] + (at - begin[doc])[own]
         return r
 
@@ -191,16 +191,16 @@ def _ask(w: Windows, buckets: int):
     def run(rows):
         held, size, seen = [], 0, Counter()
         for batch in rows:
-            for s in text_slices(batch, 1, 2_000_000):
-                names = s.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for s in text_slices(batch, "text", 2_000_000):
+                names, others = (s.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h1", "h2"))
                 new = []
-                for i, name in enumerate(names.tolist()):  # a row like two others here tells nothing new
+                for i, name in enumerate(zip(names.tolist(), others.tolist())):  # a row like two others here tells nothing new
                     seen[name] += 1
                     if seen[name] <= 2:
                         new.append(i)
                 if len(new) < len(names):
-                    s, names = s.take(pa.array(new, pa.int64())), names[new]
-                for r in _all_segments(names, *w.tokens(s.column(1)), w):
+                    s, names, others = s.take(pa.array(new, pa.int64())), names[new], others[new]
+                for r in _all_segments(names, others.astype(np.int32), *w.tokens(s.column("text")), w):
                     held.append(r)
                     size += len(r)
                 if size >= BATCH:
@@ -236,7 +236,7 @@ def _answer(buckets: int, hot: int):
     """Segments whose anchors occur again, and anchors of more than `hot` segments."""
 
     def pack(name, r):
-        return _batch(_ANSWER, [name, np.ascontiguousarray(r["anchor"]).view(np.int64), r["start"].astype(np.int32), r["n"].astype(np.int32), None])
+        return _batch(_ANSWER, [name, r["tag"].astype(np.int32), np.ascontiguousarray(r["anchor"]).view(np.int64), r["start"].astype(np.int32), r["n"].astype(np.int32), None])
 
     def run(rows):
         for bucket, held in _by_bucket(rows):
@@ -252,7 +252,7 @@ def _answer(buckets: int, hot: int):
             again = np.repeat((size > 1) | (np.maximum.reduceat(r["note"], new) > 0), size) & (r["note"] == 0)
             yield pack(r["name"][again].astype(np.int64), r[again])
             if len(often):
-                yield _batch(_ANSWER, [None, None, None, None, np.ascontiguousarray(often).view(np.int64)])
+                yield _batch(_ANSWER, [None, None, None, None, None, np.ascontiguousarray(often).view(np.int64)])
 
     return frugal(run)
 
@@ -317,11 +317,14 @@ class Spans:
 
 
 def _asked_of(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, int, bool]]]:
-    """The distinct segments (anchor, start, n, hot) that each row is asked for."""
+    """The distinct segments (anchor, start, n, hot) that each row is asked for. Those with another tag are another row's."""
     lists = batch.column("asked")
     flat = lists.flatten()
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    own = flat.field("tag").to_numpy(zero_copy_only=False) == np.repeat(batch.column("h2").to_numpy(zero_copy_only=False).astype(np.int32), size)
+    flat = flat.filter(pa.array(own))
     parts = [flat.field(c).to_pylist() for c in ("anchor", "start", "n", "hot")]
-    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    ends = np.concatenate([[0], np.cumsum(own)])[np.cumsum(size)].tolist()
     for a, b in zip([0, *ends[:-1]], ends):
         yield sorted(set(zip(*(x[a:b] for x in parts))), key=lambda x: x[1])
 
@@ -432,7 +435,7 @@ def _plan_bytes(df: DataFrame) -> int:
 def repeated_spans(rows: DataFrame, w: Windows, decide, by_order: bool, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(h1, found: array of (h2, binary SPAN records)) of the rows of keyed() that have repeated windows."""
     buckets = min(_MOST_BUCKETS, max(4 * max(16, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), _plan_bytes(rows) // _BUCKET_BYTES))
-    dealt = rows.select(F.col("h1").alias("name"), "text").mapInArrow(_ask(w, buckets), _DEALT)
+    dealt = rows.select("h1", "h2", "text").mapInArrow(_ask(w, buckets), _DEALT)
     answers = materialize(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer(buckets, hot), _ANSWER), "answers")
     often = answers.where("hot IS NOT NULL").select(F.col("hot").alias("anchor"))
     n_often = often.count()
@@ -442,7 +445,7 @@ def repeated_spans(rows: DataFrame, w: Windows, decide, by_order: bool, hot: int
         segs = segs.join(F.broadcast(marked) if n_often <= BROADCAST_HOT else marked, "anchor", "left")
     else:
         segs = segs.withColumn("hot", F.lit(False))
-    one = F.struct("anchor", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
+    one = F.struct("tag", "anchor", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
     asked = segs.groupBy(F.col("name").alias("h1")).agg(F.collect_set(one).alias("asked"))
     sent = rows.join(asked.hint("merge"), "h1").select("h1", "h2", "dk", "nk", "text", "asked").mapInArrow(_fetch(w, by_order, buckets), _CONTENT)
     found = sent.repartition("route").sortWithinPartitions("route").mapInArrow(_match(w, by_order, buckets, decide, shard_bytes), _FOUND)

@@ -13,13 +13,29 @@ from quillspark.llm.substring_dedup import remove_repeated_words
 from quillspark.llm.suffix_dedup import remove_repeated_bytes
 from quillspark.llm.token_counts import count_tokens
 from quillspark.llm.token_files import read_token_files, write_token_files
-from quillspark.llm.url_filter import prefix_rule, judge_urls, word_rule
+from quillspark.llm.url_filter import Rule, judge_urls, label_rule, pair_rules, parameter_rule, prefix_rule, segment_rule
 from quillspark.workspace import scratch
 
 #: The contract's rules: action, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Words that block a URL which no rule above fits.
-URL_WORDS = ("adult", "bets", "casino", "gambling", "pills", "porn", "viagra", "xxx")
+#: Words that block a URL which no rule above fits, as a label of its host, a segment of its path or a parameter of its query;
+#: and words that do so together with one of them.
+URL_WORDS = (
+    "adult bets betting bingo blackjack bookmaker camgirl camgirls cams casino casinos cialis crack cracked dating escort escorts fetish gambling "
+    "hentai hookup jackpot keygen kinky levitra lottery milf nude nudes nsfw payday penis phentermine pills poker porn porno pornhub replica replicas "
+    "roulette serial sex sexcam sexy shemale slots sportsbook steroids tramadol viagra voyeur warez webcam webcams xanax xxx"
+).split()
+URL_MODIFIERS = "amateur best bonus buy cheap cheapest club deals discount download erotic free hot live nude online real sale teen top wild win".split()
+
+
+def url_rules() -> list[Rule]:
+    """The contract's rules, and those made of the words: some 2,600."""
+    rules = [prefix_rule(*r) for r in URL_RULES]
+    for w in URL_WORDS:
+        rules += [label_rule("block", w), segment_rule("block", w), parameter_rule("block", w)]
+        for m in URL_MODIFIERS:
+            rules += pair_rules("block", m, w)
+    return rules
 
 
 def tokenizer_file(name: str) -> str:
@@ -37,8 +53,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [prefix_rule(*r) for r in URL_RULES] + [word_rule("block", w) for w in URL_WORDS]
-    return judge_urls(_docs(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+    return judge_urls(_docs(spark, sf_dir, "pages").select("page_id", "url"), url_rules()).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +94,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_simhash, op4_packing, op5_byte_level_bpe, op6_token_files, op7_quality_rules, op8_substring_dedup, op9_suffix_array_dedup, op10_exact_dedup)}
 
+_ANY, _MODIFIER = f"({'|'.join(URL_WORDS)})", f"({'|'.join(URL_MODIFIERS)})"
+_BLOCKED = rf"^([^/?]*\.)?{_ANY}\.|/{_ANY}([/?._-]|$)|[?&]{_ANY}=|(^|[^A-Za-z0-9]){_MODIFIER}[-_]?{_ANY}([^A-Za-z0-9]|$)"
 _RULE_VALUES = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
 ORACLE_SQL = {
     "op2_url_filters": f"""
@@ -86,12 +103,12 @@ WITH rules(action, rhost, rpath) AS (VALUES {_RULE_VALUES}),
 cut AS (SELECT page_id, row_number() OVER () AS k, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
   SELECT page_id, k, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*([?][^#]*)', 1) AS query FROM cut),
 fits AS (
   SELECT k, arg_max(rhost || rpath, length(rhost || rpath) * 1000 + length(rhost)) AS rule, arg_max(action, length(rhost || rpath) * 1000 + length(rhost)) AS action
   FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY k)
 SELECT page_id, host, path, rule,
-       coalesce(action, CASE WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9])({"|".join(URL_WORDS)})([^A-Za-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(action, CASE WHEN regexp_matches(host || path || query, '{_BLOCKED}') THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN fits USING (k)""",
     "op10_exact_dedup": r"""
 WITH norm AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _SPACES = r"[\x20\x09-\x0D]+"
 _CLASS = "digest binary, keep_id long, group_size long"
@@ -131,7 +131,7 @@ def _collapse(budget: int):
 
 def _distinct(budget: int):
     def run(rows):
-        # Spark's own spill folder of this executor: scratch of one task, gone with it
+        # Spark's own spill folder of this executor: scratch of one task, gone with it and made anew if the task runs again
         top = os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).split(",")[0]
         os.makedirs(top, exist_ok=True)
         folder, seen = tempfile.mkdtemp(prefix="grace-", dir=top), []
@@ -154,6 +154,18 @@ def _distinct(budget: int):
     return run
 
 
+def _hashed(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """(doc_id, content: normalised text, digest, more)."""
+    lean = docs.select(F.col(key).cast("long").alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), _SPACES, " ").alias("content"), *more)
+    return lean.withColumn("digest", F.unhex(F.sha2("content", 256)))
+
+
+def content_classes(hashed: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(digest, keep_id, group_size) of every distinct content."""
+    records = hashed.select("digest", F.col("doc_id").alias("min_id"), F.lit(1).cast("long").alias("n"), "content")
+    return records.mapInArrow(_collapse(budget // 2), _CONTENT).repartition("digest").mapInArrow(_distinct(budget), _CLASS)
+
+
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
     """Every row of docs with the class of its text: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -161,12 +173,9 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     the smallest key of the class, null keys last, and exactly one row of a class is kept, also where rows repeat
     with one key. A class of null keys has keep_id null. Other columns are ignored; an empty table gives no rows.
     """
-    lean = docs.select(F.col(key).cast("long").alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), _SPACES, " ").alias("content"))
-    hashed = lean.withColumn("digest", F.unhex(F.sha2("content", 256)))
-    records = hashed.select("digest", F.col("doc_id").alias("min_id"), F.lit(1).cast("long").alias("n"), "content")
-    classes = records.mapInArrow(_collapse(budget // 2), _CONTENT).repartition("digest").mapInArrow(_distinct(budget), _CLASS)
+    hashed = _hashed(docs, key, text)
     rows = hashed.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))  # repeated rows, without a hot task
-    joined = rows.join(classes, "digest")
+    joined = rows.join(content_classes(hashed, budget), "digest")
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
     return joined.select("doc_id", "keep_id", "group_size", copy.alias("copy"), "digest").select(
         "doc_id",
@@ -178,6 +187,13 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", b
 
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, with all their columns; keys are unique, as in `documents`."""
-    kept = exact_duplicates(docs, key, text, budget).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs[key].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
+    """One row of docs, with all its columns, for each class of equal texts: one with the smallest key, null keys last.
+
+    Of rows that share key and class, which one stays is not defined; the others are dropped before the rows are shuffled. All columns
+    stay, whatever their names; an empty table gives no rows.
+    """
+    null = lambda c: F.col(c).isNull()
+    own = _hashed(docs, key, text, F.struct(*docs.columns).alias("row"))
+    one = own.groupBy("digest", F.coalesce("doc_id", F.lit(0)).alias("k"), null("doc_id").alias("null")).agg(F.first("row").alias("row"))
+    low = content_classes(own, budget).select("digest", F.coalesce("keep_id", F.lit(0)).alias("k"), null("keep_id").alias("null"))
+    return one.join(low, ["digest", "k", "null"], "left_semi").select("row.*")

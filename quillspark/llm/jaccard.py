@@ -6,7 +6,7 @@ document has come first and are shared with nobody, so most prefixes have nothin
 by documents that hold little else.
 
 Documents that share a prefix shingle meet in its cell. A document has to find one similar document before it in the order of
-keys: it tries the first few of each of its cells, then the next four times as many, and so on until it has found one or tried all of them.
+keys: it tries the first two of its rarest cell, then the first few of each of its cells, then the next four times as many, and so on until it has found one or tried all of them.
 So a large group of copies costs a few tries each, and nothing is left untried. Shingles are told apart by a 64-bit hash.
 """
 
@@ -16,10 +16,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quillspark.llm.worker import text_slices
-from quillspark.workspace import ROW, materialize, with_row_ids
+from quillspark.workspace import ROW, discard, materialize
 
 WIDTH = 5
 SEED = 42
@@ -28,7 +28,7 @@ PARTS = 1024
 #: Bytes of a hash, besides the part that it leads to, by which shingles are counted. If two meet, a pair more may be verified, none less.
 _CELL_BYTES = 5
 _SLICE_BYTES = 8_000_000
-_FIRST_TRIES, _MORE = 4, 4
+_RAREST_TRIES, _FIRST_TRIES, _MORE = 2, 4, 4
 
 
 def shingle_set(text: str | bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -150,10 +150,10 @@ def _tries(low: int, high: int, num: int, den: int):
     return run
 
 
-def rows_near_earlier(rows: DataFrame, num: int = 4, den: int = 5, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+def rows_near_earlier(rows: DataFrame, num: int = 4, den: int = 5, width: int = WIDTH, key: str = "doc_id", text: str = "text", first: DataFrame | None = None) -> DataFrame:
     """Row ids of the rows (of with_row_ids) that have a similarity of num/den or more to a row with a smaller key.
 
-    Null keys come after all others; rows of one key come in the order of their row ids. Texts without words are similar to none.
+    first: candidates (row, other), other with the smaller key, that are verified before all others. Null keys come after all others; rows of one key come in the order of their row ids. Texts without words are similar to none.
     """
     lean = rows.select(ROW, F.col(text).alias("text"))
     dealt = lean.mapInArrow(_deal(width), "part int, count int, blob binary")
@@ -161,31 +161,42 @@ def rows_near_earlier(rows: DataFrame, num: int = 4, den: int = 5, width: int =
     own = shared.groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))
     # the prefix without the shingles that no other document has
     prefix = F.expr(f"n - ({num} * n + {den - 1}) div {den} + 1 - (n - size(x))").cast("int")
-    cells = own.withColumn("left", prefix).where("left > 0").select("row", "n", F.explode(F.slice("x", F.lit(1), F.col("left"))).alias("x")).select("row", "n", F.col("x.h").alias("h"))
-    cells = materialize(cells, "near-cells")
+    cells = own.withColumn("left", prefix).where("left > 0").select("row", "n", F.posexplode(F.slice("x", F.lit(1), F.col("left"))).alias("place", "x")).select("row", "n", "place", F.col("x.h").alias("h"))
+    dealt = cells = materialize(cells, "near-cells")
     met = cells.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     keys = rows.select(F.col(ROW).alias("row"), F.col(key).cast("long").alias("key"))
-    cells = materialize(cells.join(met, "h").join(keys, "row"), "near-cells")
+    rarest = F.row_number().over(Window.partitionBy("row").orderBy("place")) == 1
+    cells = materialize(cells.join(met, "h").join(keys, "row").withColumn("rarest", rarest).drop("place"), "near-cells")
+    discard(dealt)
     sets = materialize(lean.join(cells.select(F.col("row").alias(ROW)).distinct(), ROW, "left_semi").mapInArrow(_sets(width), "row long, shingles array<long>"), "near-sets")
     other = sets.select(F.col("row").alias("other"), F.col("shingles").alias("theirs"))
     common = F.size(F.array_intersect("shingles", "theirs"))
     similar = (num + den) * common >= num * (F.size("shingles") + F.size("theirs"))
-    low, high, live, gone = 0, _FIRST_TRIES, cells.withColumn("open", F.lit(True)), None
-    while True:
+    verified = lambda pairs: materialize(pairs.join(sets, "row").join(other, "other").where(similar).select("row").distinct(), "near-found")
+    def settled(tried, low, high):
+        """Pairs of open rows with the members of their cells at places low to high before them, and the rows found similar by them."""
         order = F.col("key").asc_nulls_last()
-        tried = live.repartition("h").sortWithinPartitions("h", order, "row").mapInArrow(_tries(low, high, num, den), "row long, other long").distinct()
-        tried = materialize(tried, "near-pairs")
-        found = materialize(tried.where("other IS NOT NULL").join(sets, "row").join(other, "other").where(similar).select("row").distinct(), "near-found")
-        gone = found if gone is None else gone.union(found)
-        left = materialize(tried.where("other IS NULL").select("row").join(found, "row", "left_anti"), "near-open")
-        if left.isEmpty():
-            return gone
-        live = cells.join(left.withColumn("open", F.lit(True)), "row", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        pairs = tried.repartition("h").sortWithinPartitions("h", order, "row").mapInArrow(_tries(low, high, num, den), "row long, other long").distinct()
+        pairs = materialize(pairs, "near-pairs")
+        return pairs, verified(pairs.where("other IS NOT NULL"))
+
+    def opened(rows_left):
+        return cells.join(rows_left.withColumn("open", F.lit(True)), "row", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+
+    candidates = cells.where("rarest").select("row")
+    gone = verified(first) if first is not None else candidates.limit(0)
+    # most near copies are found where their rarest shingle leads
+    left = candidates.join(gone, "row", "left_anti")
+    tried, found = settled(opened(left).withColumn("open", F.col("open") & F.col("rarest")), 0, _RAREST_TRIES)
+    discard(tried)
+    gone = gone.union(found)
+    left = materialize(candidates.join(gone, "row", "left_anti"), "near-open")
+    low, high = 0, _FIRST_TRIES
+    while not left.isEmpty():
+        tried, found = settled(opened(left), low, high)
+        gone = gone.union(found)
+        after = materialize(tried.where("other IS NULL").select("row").join(found, "row", "left_anti"), "near-open")
+        discard(tried, left)
+        left = after
         low, high = high, high + (high - low) * _MORE
-
-
-def drop_similar(docs: DataFrame, num: int = 4, den: int = 5, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that have a Jaccard similarity of num/den or more to one with a smaller key; see rows_near_earlier."""
-    rows = with_row_ids(docs)
-    gone = rows_near_earlier(rows, num, den, width, key, text).select(F.col("row").alias(ROW))
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    return gone

@@ -25,7 +25,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Rule:
-    """A regular expression on host + path (Java and RE2 syntax in common), the tokens it needs, and its rank: higher wins."""
+    """A regular expression on host + path + query (Java and RE2 syntax in common), the tokens it needs, and its rank: higher wins."""
 
     action: str
     pattern: str
@@ -40,19 +40,41 @@ def prefix_rule(action: str, host: str, path: str) -> Rule:
     whole = host + path
     found = [(m[0], m.end()) for m in _TOKEN.finditer(whole)]
     literals = tuple(t for t, end in found if end < len(whole))  # the last may go on in a URL
-    return Rule(action, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}", literals, whole, (len(whole), len(host)))
+    return Rule(action, rf"^(?:[^/?]*\.)?{re.escape(host)}{re.escape(path)}", literals, whole, (len(whole), len(host)))
 
 
 def word_rule(action: str, word: str) -> Rule:
-    """Fits wherever word is a token; ranks below every named rule."""
+    """Fits wherever word is a token; like the rules below, it ranks below every named rule."""
     return Rule(action, rf"(?:^|[^A-Za-z0-9]){re.escape(word)}(?:[^A-Za-z0-9]|$)", (word,))
 
 
-def split_url(url: Column) -> tuple[Column, Column]:
-    """Host (A-Z lower-cased) and path; both empty without "://" or for null."""
+def label_rule(action: str, word: str) -> Rule:
+    """Fits where a label of the host but the last is word."""
+    return Rule(action, rf"^(?:[^/?]*\.)?{re.escape(word)}\.", (word,))
+
+
+def segment_rule(action: str, word: str) -> Rule:
+    """Fits where a segment of the path is word or begins with it."""
+    return Rule(action, rf"/{re.escape(word)}(?:[/?._-]|$)", (word,))
+
+
+def parameter_rule(action: str, word: str) -> Rule:
+    """Fits where a parameter of the query is called word."""
+    return Rule(action, rf"[?&]{re.escape(word)}=", (word,))
+
+
+def pair_rules(action: str, first: str, second: str) -> list[Rule]:
+    """Fit two words in this order, with a hyphen or underscore between them or none."""
+    edge = lambda x: rf"(?:^|[^A-Za-z0-9]){x}(?:[^A-Za-z0-9]|$)"
+    a, b = re.escape(first), re.escape(second)
+    return [Rule(action, edge(f"{a}[-_]{b}"), (first, second)), Rule(action, edge(a + b), (first + second,))]
+
+
+def split_url(url: Column) -> tuple[Column, Column, Column]:
+    """Host (A-Z lower-cased), path, and query with its question mark; all empty without "://" or for null."""
     at = F.coalesce(F.instr(url, "://"), F.lit(0))
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
-    return F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), _UPPER, _LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    return F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), _UPPER, _LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1)
 
 
 def _tokens(place: Column) -> Column:
@@ -60,7 +82,7 @@ def _tokens(place: Column) -> Column:
 
 
 def index_rules(rules: list[Rule], places: DataFrame) -> list[Rule]:
-    """The rules with the token that each is filed under; places has a column `place`, host + path of every URL.
+    """The rules with the token that each is filed under; places has a column `place`, host + path + query of every URL.
 
     Counts only the rules' own tokens, summed per task before the shuffle; as many rows as rules have tokens come back.
     """
@@ -92,27 +114,36 @@ def _inline(places: DataFrame, rules: list[Rule]) -> DataFrame:
             buckets[xxhash.xxh64_intdigest(r.token.encode(), 42) % n].append(r)
     none = F.filter(F.array(_struct(Rule("", "", ()))), lambda x: F.lit(False))
     table = F.array(*[F.array(*map(_struct, b)) if b else none for b in buckets])
-    always = [_struct(r) for r in rules if not r.token]
     fetched = F.flatten(
         F.transform(_tokens(F.col("place")), lambda t: F.filter(F.element_at(table, (F.xxhash64(t).bitwiseAND(F.lit(n - 1)) + 1).cast("int")), lambda r: r["token"] == t))
     )
-    candidates = F.concat(fetched, F.array(*always)) if always else fetched
-    fitting = F.filter(candidates, lambda r: F.expr("1=1") & F.rlike(F.col("place"), r["pattern"]))
-    return places.withColumn("best", F.array_max(F.transform(fitting, _order)))
+    return places.withColumn("best", F.array_max(F.transform(_fitting(fetched), _order)))
+
+
+def _fitting(candidates: Column) -> Column:
+    return F.filter(candidates, lambda r: F.rlike(F.col("place"), r["pattern"]))
 
 
 def _joined(places: DataFrame, rules: list[Rule]) -> DataFrame:
     spark = places.sparkSession
-    index = spark.createDataFrame([(r.token, r.rank[0], r.rank[1], r.action, r.name, r.pattern) for r in rules], "token string, rank int, host_rank int, action string, name string, pattern string")
+    index = spark.createDataFrame([(r.token, r.rank[0], r.rank[1], r.action, r.name, r.pattern) for r in rules if r.token], "token string, rank int, host_rank int, action string, name string, pattern string")
     if len(rules) <= BROADCAST_RULES:
         index = F.broadcast(index)
-    distinct = places.select("place").distinct()
-    asked = distinct.select("place", F.explode(F.array_append(_tokens(F.col("place")), "")).alias("token"))  # "": rules without a token
+    asked = places.select("place").distinct().select("place", F.explode(_tokens(F.col("place"))).alias("token"))
     fits = asked.join(index, "token").where(F.rlike(F.col("place"), F.col("pattern")))
     best = fits.groupBy("place").agg(F.max(F.struct("rank", "host_rank", "action", "name")).alias("best"))
     return places.join(best, "place", "left")
 
 
+def _with_tokenless(places: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rules without a token, which no index holds, are run on every URL in its row."""
+    always = [_struct(r) for r in rules if not r.token]
+    if not always:
+        return places
+    own = F.array_max(F.transform(_fitting(F.array(*always)), _order))
+    return places.withColumn("best", F.when(F.col("best").isNull() | (own > F.col("best")), own).otherwise(F.col("best")))
+
+
 def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url: str = "url", inline: int = INLINE_RULES) -> DataFrame:
     """pages' columns and host, path, rule, verdict: the action of the best rule that fits, else default.
 
@@ -120,9 +151,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url:
     an empty host and path, which no prefix rule fits. Rows are neither merged nor dropped; pages' own columns host, path,
     rule or verdict are replaced.
     """
-    host, path = split_url(F.col(url))
+    host, path, query = split_url(F.col(url))
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    placed = pages.select(F.struct(*own).alias("row"), host.alias("host"), path.alias("path")).withColumn("place", F.concat("host", "path"))
+    placed = pages.select(F.struct(*own).alias("row"), host.alias("host"), path.alias("path"), query.alias("query")).withColumn("place", F.concat("host", "path", "query")).drop("query")
     filed = index_rules(rules, placed.select("place"))
-    best = (_inline if len(rules) <= inline else _joined)(placed, filed)
+    best = _with_tokenless((_inline if len(rules) <= inline else _joined)(placed, filed), filed)
     return best.select("row.*", "host", "path", F.col("best")["name"].alias("rule"), F.coalesce(F.col("best")["action"], F.lit(default)).alias("verdict"))

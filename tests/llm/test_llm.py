@@ -114,26 +114,50 @@ def test_token_counts(docs, rows, tok, empty):
     assert all(total[k] == (2 if k == 12 else 1) * len(ids_of(tok, t)) for k, t in rows if k is not None and k < 40)
 
 
-def test_url_filter(spark):
-    urls = ["http://Example.COM/en/a", "https://www.example.com/en/", "x", None, "", "http://a.net/es/1?x#y", "http://net/fr/", "ftp://my-casino.org/", "http://com", "http://notcom/", "http://com/#a", "a://b.com?/en/"]
-    pages = spark.createDataFrame([(i % 11, u, "clash") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, rule string")
-    raw = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-
-    def judge(u):
-        host = path = ""
-        if u and "://" in u:
-            rest = u.split("://", 1)[1]
-            cut = min([rest.find(c) for c in "/?#" if c in rest] + [len(rest)])
-            host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
-            path = rest[cut:].split("?")[0].split("#")[0]
-        fits = [(len(h + p), h + p, a) for a, h, p in raw if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        return (host, path, max(fits)[1], max(fits)[2]) if fits else (host, path, None, "block" if "casino" in host else "allow")
-
-    want = Counter((i % 11, *judge(u)) for i, u in enumerate([*urls, urls[0]]))
-    rules = [url_filter.prefix_rule(*r) for r in raw] + [url_filter.word_rule("block", "casino")]
-    for inline in (100, 0):
-        assert got(url_filter.judge_urls(pages, rules, inline=inline), "page_id", "host", "path", "rule", "verdict") == want
-    assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
+URLS = ["http://Example.COM/en/a", "https://www.example.com/en/", "x", None, "", "http://a.net/es/1?x#y", "http://net/fr/", "ftp://my-casino.org/", "http://com", "http://notcom/", "http://com/#a", "a://b.com?/en/", "http://casino.org", "http://a.casino/", "http://a.org/casino", "http://a.org/casinos/x", "http://a.org/?casino=1", "http://a.org/?x=casino", "http://a.org/free-poker.html", "http://a.org/freepoker", "http://a.org/poker-free", "http://x.org/a.net/es/", "http://x.org?b.net/es/", "http://free_slots.org", "http://a.org/s-e-x", "http://z.org/@"]
+
+
+def judged(u, words, modifiers):
+    """(host, path, rule, verdict) by every rule in turn."""
+    import re
+
+    from quillspark.llm.entries import URL_RULES
+
+    host = path = query = ""
+    if u and "://" in u:
+        rest = u.split("://", 1)[1].split("#")[0]
+        place, mark, query = rest.partition("?")
+        host, slash, path = place.partition("/")
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        path, query = slash + path, mark + query
+    fits = [(len(h + p), h + p, a) for a, h, p in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    if fits:
+        return host, path, max(fits)[1], max(fits)[2]
+    bad = any(w in host.split(".")[:-1] or re.split("[._-]", s)[0] == w for w in words for s in path.split("/")[1:] or [""])
+    bad |= any(p.partition("=")[0] in words and "=" in p for p in re.split("[?&]", query)[1:])
+    runs = re.findall("[A-Za-z0-9]+", host + path + query)
+    bad |= any(x in {m + w for m in modifiers for w in words} for x in runs)
+    bad |= any(re.search(rf"(^|[^A-Za-z0-9]){m}[-_]{w}([^A-Za-z0-9]|$)", host + path + query) for m in modifiers for w in words)
+    return host, path, None, "block" if bad else "allow"
+
+
+@pytest.mark.parametrize("inline", [10_000, 0])
+def test_url_filter(spark, inline):
+    from quillspark.llm.entries import URL_RULES, URL_WORDS, url_rules
+
+    pages = spark.createDataFrame([(i % 11, u, "clash") for i, u in enumerate([*URLS, URLS[0]])], "page_id long, url string, rule string")
+    words, modifiers = ["casino", "poker", "slots", "sex"], ["free", "my"]
+    rules = [url_filter.prefix_rule(*r) for r in URL_RULES]
+    for w in words:
+        rules += [url_filter.label_rule("block", w), url_filter.segment_rule("block", w), url_filter.parameter_rule("block", w)]
+        rules += [r for m in modifiers for r in url_filter.pair_rules("block", m, w)]
+    want = Counter((i % 11, *judged(u, words, modifiers)) for i, u in enumerate([*URLS, URLS[0]]))
+    assert got(url_filter.judge_urls(pages, rules, inline=inline), "page_id", "host", "path", "rule", "verdict") == want
+    extra = [*rules, url_filter.Rule("block", "@", ()), url_filter.word_rule("block", "casinos")]
+    blocked = {r["url"] for r in url_filter.judge_urls(pages, extra, inline=inline).where("verdict = 'block' AND rule IS NULL").collect()}
+    assert {"http://z.org/@", "http://a.org/casinos/x"} <= blocked
+    assert url_filter.judge_urls(pages.limit(0), rules, inline=inline).count() == 0
+    assert len(url_rules()) > 2_000 and len(set(URL_WORDS)) == len(URL_WORDS)
 
 
 def test_simhash(docs, rows, empty):
@@ -180,27 +204,35 @@ def test_simhash_links_are_complete(spark):
     assert parts([(r["src"] & mask, r["dst"] & mask) for r in links]) == parts([(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3])
 
 
-def test_packing(docs, rows, tok, empty):
-    pieces = packing.pack(docs, JSON, 64).collect()
-    assert sorted({p["sequence_id"] for p in pieces}) == list(range(max(p["sequence_id"] for p in pieces) + 1))
-    seqs, docs_ = defaultdict(list), Counter()
+def check_packing(pieces, rows, tok, length):
+    """Every id of every row in exactly one piece, sequences full but for the last."""
+    seqs, by = defaultdict(list), defaultdict(list)
     for p in pieces:
         seqs[p["sequence_id"]].append((p["offset"], p["length"]))
+        by[p["doc_id"]].append((p["doc_tokens"], p["start"], p["length"], p["ids_crc32"]))
+    assert sorted(seqs) == list(range(len(seqs)))
     for s, own in seqs.items():
         at = 0
         for offset, n in sorted(own):
-            assert offset == at
+            assert offset == at and n > 0
             at += n
-        assert at == 64 or s == max(seqs)
+        assert at == length or s == max(seqs) and at < length
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    texts = defaultdict(list)
     for k, t in rows:
-        docs_[k, zlib.crc32(np.array(ids_of(tok, t) + [1], "<u4").tobytes()[: 4 * 1])] += 1
-    assert sum(p["length"] for p in pieces) == sum(len(ids_of(tok, t)) + 1 for _, t in rows)
-    want = Counter((k, len(ids_of(tok, t)) + 1) for k, t in rows)
-    assert Counter((p["doc_id"], p["doc_tokens"]) for p in pieces if p["start"] == 0) == want
-    one = {k: np.array(ids_of(tok, t) + [1], "<u4") for k, t in rows if k is not None}
-    for p in pieces:
-        if p["doc_id"] is not None:
-            assert zlib.crc32(one[p["doc_id"]][p["start"] : p["start"] + p["length"]].tobytes()) == p["ids_crc32"]
+        texts[k].append([*ids_of(tok, t), 1])
+    assert set(by) == set(texts)
+    for k, own in by.items():
+        assert sum(n for _, _, n, _ in own) == sum(map(len, texts[k]))
+        for size, start, n, c in own:
+            assert any(len(x) == size and crc(x[start : start + n]) == c for x in texts[k])
+        if len(texts[k]) == 1:
+            starts = sorted((start, n) for _, start, n, _ in own)
+            assert [s for s, _ in starts] == [0, *np.cumsum([n for _, n in starts])[:-1].tolist()]
+
+
+def test_packing(docs, rows, tok, empty):
+    check_packing(packing.pack(docs, JSON, 64).collect(), rows, tok, 64)
     assert packing.pack(empty, JSON).count() == 0
 
 
@@ -414,28 +446,44 @@ def test_grace_recursion(tmp_path):
     assert not list(tmp_path.iterdir())
 
 
-def test_pipeline(spark, sf):
+def test_large_cells_lose_no_link():
+    rnd = random.Random(9)
+    base = [rnd.getrandbits(64) for _ in range(60)]
+    fps = list({b ^ sum(1 << x for x in rnd.sample(range(64), rnd.randrange(0, 4))) for b in base for _ in range(25)})
+    rnd.shuffle(fps)
+    fp, home = np.array(fps, np.uint64), np.array([rnd.random() < 0.6 for _ in fps])
+
+    def parts(edges):
+        label = list(range(len(fps)))
+        for a, b in edges:
+            label = [label[a] if x == label[b] else x for x in label]
+        return Counter(frozenset(i for i, x in enumerate(label) if x == y) for y in set(label))
+
+    want = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3 and (home[i] or home[j])]
+    for small in (0, 24):
+        a, b = simhash.link_large_cell(fp, home, 3, small)
+        assert all((fps[i] ^ fps[j]).bit_count() <= 3 for i, j in zip(a, b))
+        assert parts(zip(a.tolist(), b.tolist())) == parts(want)
+
+
+def test_pipeline(spark, sf, tok):
     import corpus_pipeline as p
+    from test_near import brute
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    start = {r["doc_id"]: r["text"] for r in docs.collect()}
+    verdict = {r["doc_id"]: r["kept"] for r in quality.judge_quality(docs).collect()}
     stages = []
     for _, stage in p.STAGES[:-1]:
         docs = p.materialize(stage(spark, docs, sf), "test")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         stages.append({r["doc_id"]: r["text"] for r in docs.collect()})
-    start = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    verdict = {r["doc_id"]: r["kept"] for r in quality.judge_quality(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
     assert stages[0] == {k: t for k, t in start.items() if verdict[k]}
     low = {}
     for k, t in stages[0].items():
         low.setdefault(" ".join(t.split()), []).append(k)
     assert set(stages[1]) == {min(v) for v in low.values()}
-    fp = {k: simhash.fingerprint(t) for k, t in stages[1].items()}
-    part = {k: k for k in fp}
-    for _ in range(10):
-        part = {k: min(part[j] for j in fp if (fp[j] ^ fp[k]).bit_count() <= 3) for k in fp}
-    assert set(stages[2]) == {k for k in fp if part[k] == k}
+    assert stages[2] == dict(brute(list(stages[1].items())))
     words = Counter({(k, s): n for (k, w, g, s), n in brute_words(list(stages[2].items()), 13).items() if w > g})
     assert Counter((k, hashlib.sha256(b" ".join(t.encode().split())).hexdigest()) for k, t in stages[3].items()) == words
-    packed = p.run(spark, sf)
-    assert {r["doc_id"] for r in packed.collect()} == set(stages[3])
+    check_packing(p.run(spark, sf).collect(), list(stages[3].items()), tok, 2048)

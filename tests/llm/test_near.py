@@ -8,7 +8,7 @@ import pytest
 pytest.importorskip("xxhash")
 
 import corpus_pipeline  # noqa: E402
-from quillspark.llm import jaccard  # noqa: E402
+from quillspark.llm import simhash  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -57,4 +57,4 @@ def test_near_dedup_of_shared_and_null_keys(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(1, a), (1, a), (1, b), (None, b), (None, c), (None, c), (None, "d " * 60)]
     docs = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], SCHEMA)
-    assert Counter((r["doc_id"], r["text"]) for r in jaccard.drop_similar(docs).collect()) == Counter([(1, a), (1, b), (None, c), (None, "d " * 60)])
+    assert Counter((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs).collect()) == Counter([(1, a), (1, b), (None, c), (None, "d " * 60)])
