@@ -3,7 +3,8 @@
 Candidates come from prefix filtering, which loses no pair. Put the shingles of every document in one order, rarest in the corpus
 first. Two sets of similarity 0.8 or more share one of the first n - ceil(0.8 n) + 1 shingles of each (n: its size). Shingles that only one
 document has come first and are shared with nobody, so most prefixes have nothing left to look up, and common passages are looked up only
-by documents that hold little else.
+by documents that hold little else. Of two sets whose first common shingle has k shingles from it on in the smaller rest, at most k are common, which
+rules out most of the others.
 
 Documents that share a prefix shingle meet in its cell. A document has to find one similar document before it in the order of
 keys: it tries the first two of its rarest cell, then the first few of each of its cells, then the next four times as many, and so on until it has found one or tried all of them.
@@ -132,19 +133,20 @@ def _tries(low: int, high: int, num: int, den: int):
         now, ids, sizes = None, [], []
         for batch in rows:
             a, b = [], []
-            for h, row, n, is_open in zip(*(batch.column(c).to_pylist() for c in ("h", "row", "n", "open"))):
+            for h, row, n, left, is_open in zip(*(batch.column(c).to_pylist() for c in ("h", "row", "n", "left", "open"))):
                 if h != now:
                     now, ids, sizes = h, [], []
                 if is_open:
-                    for x, m in zip(ids[low:high], sizes[low:high]):
-                        if den * min(n, m) >= num * max(n, m):
+                    for x, (m, theirs) in zip(ids[low:high], sizes[low:high]):
+                        # if this is the first shingle that both have, no more than what is left can be common
+                        if den * min(n, m) >= num * max(n, m) and (num + den) * min(left, theirs) >= num * (n + m):
                             a.append(row)
                             b.append(x)
                     if len(ids) > high:
                         a.append(row)
                         b.append(None)
                 ids.append(row)
-                sizes.append(n)
+                sizes.append((n, left))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["row", "other"])
 
     return run
@@ -161,7 +163,8 @@ def rows_near_earlier(rows: DataFrame, num: int = 4, den: int = 5, width: int =
     own = shared.groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))
     # the prefix without the shingles that no other document has
     prefix = F.expr(f"n - ({num} * n + {den - 1}) div {den} + 1 - (n - size(x))").cast("int")
-    cells = own.withColumn("left", prefix).where("left > 0").select("row", "n", F.posexplode(F.slice("x", F.lit(1), F.col("left"))).alias("place", "x")).select("row", "n", "place", F.col("x.h").alias("h"))
+    cells = own.withColumn("left", prefix).where("left > 0").select("row", "n", F.size("x").alias("shared"), F.posexplode(F.slice("x", F.lit(1), F.col("left"))).alias("place", "x"))
+    cells = cells.select("row", "n", "place", (F.col("shared") - F.col("place")).alias("left"), F.col("x.h").alias("h"))
     dealt = cells = materialize(cells, "near-cells")
     met = cells.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     keys = rows.select(F.col(ROW).alias("row"), F.col(key).cast("long").alias("key"))
