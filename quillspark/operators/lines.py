@@ -109,6 +109,12 @@ def outer_boxes(boxes: DataFrame, key: list[str], box_id: str = "box_id") -> Dat
     return a.join(b, cond, "left_anti")
 
 
+def data_tables(tables: DataFrame, key: list[str], box_id: str = "box_id", n_rows: str = "n_rows", n_columns: str = "n_columns") -> DataFrame:
+    """Tables with enough rows, and columns in their first row, that lie in no other such table of their page."""
+    large = tables.where((F.col(n_rows) >= L.MIN_TABLE_ROWS) & (F.col(n_columns) >= L.MIN_TABLE_COLUMNS))
+    return outer_boxes(large, key, box_id)
+
+
 def merge_by_position(prose: DataFrame, rows: DataFrame, boxes: DataFrame, key: list[str]) -> DataFrame:
     """Lines (key, top, x0, pos, line) outside all boxes and table rows (key, top, row_no, line), in order of top.
 

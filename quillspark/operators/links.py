@@ -28,23 +28,51 @@ def link_url(stem: Column | str, base: str = "") -> Column:
     return F.concat(F.lit(f"{base}/wiki-pages/"), F.replace(F.replace(F.url_encode(F.concat(col(stem), F.lit(".html"))), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/")))
 
 
+def _tokens(text: Column | str) -> Column:
+    return F.filter(F.split(F.lower(col(text)), r"[^\p{L}\p{N}_]+", -1), lambda t: t != "")
+
+
+def link_tokens(title: Column | str) -> Column:
+    """Words that a mention of the title holds whole: those of its lead but the first, and of its rest but the last, which may be part of longer ones."""
+    parts = split_title(title)
+    core = _tokens(strip(F.regexp_replace(parts["rest"], "(?iu)" + L.UNIVERSITY_SUFFIX, "")))
+    lead = _tokens(parts["lead"])
+    size = lambda c: F.greatest(F.size(c) - 1, F.lit(0))
+    return F.array_distinct(F.concat(F.slice(lead, F.lit(2), size(lead)), F.slice(core, F.lit(1), size(core))))
+
+
 def link_specs(docs: DataFrame, stem: str = "stem", title: str = "title", base: str = "") -> DataFrame:
-    """(target, pattern, url) of the documents that can be linked to; needs every title, so it comes before any linking."""
-    return docs.select(F.col(stem).alias("target"), link_pattern(title).alias("pattern"), link_url(stem, base).alias("url")).where("pattern IS NOT NULL")
+    """(target, pattern, url, tokens) of the documents that can be linked to; needs every title, so it comes before any linking."""
+    return docs.select(F.col(stem).alias("target"), link_pattern(title).alias("pattern"), link_url(stem, base).alias("url"), link_tokens(title).alias("tokens")).where("pattern IS NOT NULL")
 
 
-def mentions(docs: DataFrame, specs: DataFrame, n_specs: int, stem: str = "stem", body: str = "body") -> DataFrame:
+def mentions(docs: DataFrame, specs: DataFrame, stem: str = "stem", body: str = "body") -> DataFrame:
     """(stem, target, start, end, url): the first mention of each other document, offsets from 0.
 
-    The specs are a checked, small dimension, broadcast to the documents; beyond the bound they are dealt in blocks by a hash instead.
+    A spec is filed under the one of its tokens that fewest documents hold; documents fetch specs by their words, and patterns run on
+    those only. Specs without tokens run on every document, broadcast up to BROADCAST_SPECS and dealt in blocks beyond.
     """
-    if n_specs <= BROADCAST_SPECS:
-        pairs = docs.join(F.broadcast(specs), F.col(stem) != F.col("target"))
-    else:
-        blocks = max(1, n_specs // BROADCAST_SPECS + 1)
-        left = docs.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = specs.withColumn("__b", F.pmod(F.xxhash64("target"), F.lit(blocks)).cast("int"))
-        pairs = left.join(right, "__b").where(F.col(stem) != F.col("target"))
+    wanted = specs.select(F.explode("tokens").alias("token")).distinct()
+    words = docs.select(F.col(stem).alias("stem"), F.explode(F.array_distinct(_tokens(body))).alias("token")).join(wanted, "token")
+    df = words.groupBy("token").agg(F.count("*").alias("df"))
+    filed = specs.select("target", F.explode("tokens").alias("token")).join(df, "token").groupBy("target").agg(F.min(F.struct("df", "token")).alias("least"), F.count("*").alias("known"))
+    filed = specs.where(F.size("tokens") > 0).join(filed, "target").where(F.col("known") == F.size("tokens"))  # a word that no document holds: no mention
+    found = words.join(filed.select("target", F.col("least.token").alias("token")), "token").where("stem <> target").select(F.col("stem").alias("__stem"), F.col("target").alias("__target"))
+    fetched = found.join(docs, F.col("__stem") == F.col(stem)).join(specs, F.col("__target") == F.col("target")).drop("__stem", "__target")
+    return _located(fetched.select(stem, body, *specs.columns).unionByName(_every(docs.select(stem, body), specs.where(F.size("tokens") == 0), stem)), stem, body)
+
+
+def _every(docs: DataFrame, specs: DataFrame, stem: str) -> DataFrame:
+    n = specs.count()
+    if n <= BROADCAST_SPECS:
+        return docs.join(F.broadcast(specs), F.col(stem) != F.col("target"))
+    blocks = n // BROADCAST_SPECS + 1
+    left = docs.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = specs.withColumn("__b", F.pmod(F.xxhash64("target"), F.lit(blocks)).cast("int"))
+    return left.join(right, "__b").where(F.col(stem) != F.col("target")).drop("__b")
+
+
+def _located(pairs: DataFrame, stem: str, body: str) -> DataFrame:
     hit = pairs.where(F.rlike(F.col(body), F.col("pattern"))).withColumn("hit", F.regexp_substr(F.col(body), F.col("pattern")))
     at = F.length(F.split(F.col(body), F.col("pattern"), 2)[0])
     return hit.select(F.col(stem), "target", at.alias("start"), (at + F.length("hit")).alias("end"), "url")
@@ -59,9 +87,9 @@ def accept_spans(found: DataFrame, stem: str = "stem") -> DataFrame:
     return got.select(stem, F.aggregate("all", empty, lambda s, x: F.when(F.size(s) == 0, F.array(x)).otherwise(fold(s, x))).alias("spans"))
 
 
-def link_cross_references(docs: DataFrame, specs: DataFrame, n_specs: int, stem: str = "stem", body: str = "body") -> DataFrame:
+def link_cross_references(docs: DataFrame, specs: DataFrame, stem: str = "stem", body: str = "body") -> DataFrame:
     """docs with accepted mentions turned into Markdown links, and n_links."""
-    accepted = accept_spans(mentions(docs, specs, n_specs, stem, body), stem)
+    accepted = accept_spans(mentions(docs, specs, stem, body), stem)
     state = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
     x = F.col(body)
     step = lambda s, p: F.struct(F.concat(s["t"], F.substring(x, s["at"] + 1, p["start"] - s["at"]), F.lit("["), F.substring(x, p["start"] + 1, p["end"] - p["start"]), F.lit("]("), p["url"], F.lit(")")).alias("t"), p["end"].alias("at"))

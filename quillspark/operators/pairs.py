@@ -67,3 +67,8 @@ def shortlist(judged: DataFrame) -> DataFrame:
     """Conflicts first, then the unsure, by similarity."""
     kept = judged.where(F.col("verdict").isin(L.VERDICTS["conflict"], L.VERDICTS["unsure"]))
     return kept.orderBy(F.col("verdict") != L.VERDICTS["conflict"], F.desc("similarity"))
+
+
+def for_judging(pairs: DataFrame, most: int = L.JUDGED_PAIRS) -> DataFrame:
+    """The most similar pairs, which are handed to the judge; ties by their ends."""
+    return pairs.orderBy(F.desc("similarity"), "a", "b").limit(most)

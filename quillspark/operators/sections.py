@@ -130,6 +130,15 @@ def embedding_text(title, category, subgroup, status, number, date, path, text)
     return F.concat(F.lit("Документ: "), dash(title), F.lit("\nКатегорія: "), group, F.lit("\nСтатус: "), or_default(status, L.UNKNOWN_STATUS), F.lit("\n№ наказу: "), dash(number), F.lit(" від "), dash(date), F.lit("\nРозділ: "), dash(path), F.lit("\n\n"), col(text))
 
 
+def chunk_records(docs: DataFrame) -> DataFrame:
+    """Full chunk records of documents with stem, front matter fields and body: chunk_id is stem::index."""
+    meta = ["source_pdf", "title", "category", "subgroup", "status", "order_number", "order_date"]
+    chunks = chunk_documents(docs.select("stem", "body"), ["stem"]).join(docs.select("stem", *meta), "stem")
+    ids = {"chunk_id": F.concat("stem", F.lit("::"), F.col("chunk_index").cast("string")), "doc_id": F.col("stem"), "wiki_page": F.concat(F.lit("wiki-pages/"), "stem", F.lit(".md"))}
+    whole = chunks.withColumns(ids).withColumn("embedding_text", embedding_text("title", "category", "subgroup", "status", "order_number", "order_date", "section_path", "text"))
+    return whole.select("chunk_id", "doc_id", "wiki_page", *meta, "section_path", F.col("chunk_index").cast("int").alias("chunk_index"), "text", "embedding_text")
+
+
 def chunk_statistics(chunks: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """One row: documents, chunks, least, upper median and greatest length, documents of one chunk.
 

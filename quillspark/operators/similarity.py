@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions.text import col
 from quillspark.operators.graph import connected_components
+from quillspark.workspace import materialize
 
 
 def tokens(text: Column | str) -> Column:
@@ -27,7 +28,7 @@ def document_frequency(counts: DataFrame, n_docs: Column | int, min_df: int = 2,
 def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", min_df: int = 2, max_df: float = 0.15) -> DataFrame:
     """(id, term, weight): 1 + ln tf times ln((1 + n) / (1 + df)) + 1, unit length per document; n counts all documents."""
     n = docs.count()
-    counts = term_counts(docs, key, text)
+    counts = materialize(term_counts(docs, key, text), "terms")  # read for the frequencies, the weights and both sides of pairs
     df = document_frequency(counts, n, min_df, max_df)
     raw = counts.join(df, "term").select("id", "term", ((1 + F.log("tf")) * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)).alias("w"))
     return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))).select("id", "term", "weight")

@@ -12,7 +12,7 @@ from quillspark.functions import lexicon as L
 from quillspark.functions import text as X
 from quillspark.operators import catalog, classify, lines, links, metadata, pairs, sections, similarity, vectors
 from quillspark.plans import rag
-from quillspark.sources import sinks
+from quillspark.sources import sinks, wiki
 
 TITLES = [
     "Положення про Вчену раду факультету інформаційних технологій", "Положення про Вчену раду факультету гірничої справи", "Кодекс академічної доброчесності університету",
@@ -124,6 +124,11 @@ def candidate_pairs(spark, sf):
     return pairs.candidate_pairs(knn_join(spark, sf), _meta(spark, sf), 0.30, 0.45).select("a", "b", "similarity")
 
 
+@query(ORACLES["candidate_pairs"].replace("SELECT a, b, similarity FROM one", "SELECT a, b, similarity FROM (SELECT * FROM one") + " ORDER BY similarity DESC, a, b LIMIT 200)")
+def pairs_for_judging(spark, sf):
+    return pairs.for_judging(candidate_pairs(spark, sf))
+
+
 @query(f"SELECT doc_id, list_sort({_SIG('title')}) AS signature FROM ({TITLE_ROWS})")
 def title_signature(spark, sf):
     return _titled(spark, sf).select("doc_id", F.sort_array(pairs.title_signature("title")).alias("signature"))
@@ -273,6 +278,12 @@ def bbox_outer_tables(spark, sf):
     return lines.outer_boxes(_boxes(spark, sf), ["l_orderkey"], "line_no").select("l_orderkey", "line_no")
 
 
+@query(f"WITH b AS (SELECT * FROM ({_BOX}) WHERE line_no >= 3 AND l_orderkey % 7 >= 3) SELECT l_orderkey, line_no FROM b a WHERE NOT EXISTS (SELECT 1 FROM b c WHERE c.l_orderkey = a.l_orderkey AND c.line_no <> a.line_no AND c.x0 <= a.x0 AND c.y0 <= a.y0 AND c.x1 >= a.x1 AND c.y1 >= a.y1 AND NOT (c.x0 = a.x0 AND c.y0 = a.y0 AND c.x1 = a.x1 AND c.y1 = a.y1))")
+def data_tables(spark, sf):
+    tables = _boxes(spark, sf).withColumns({"n_rows": F.col("line_no"), "n_columns": F.col("l_orderkey") % 7})
+    return lines.data_tables(tables, ["l_orderkey"], "line_no").select("l_orderkey", "line_no")
+
+
 @query("SELECT o_orderkey, ['- ' || o_orderkey || '. Статус: ' || o_orderstatus || '; Пріоритет: ' || trim(o_orderpriority), '- Розділ ' || o_orderkey] AS rows FROM orders")
 def table_row_flatten(spark, sf):
     row = lambda *c: F.array(*c)
@@ -417,7 +428,7 @@ def embedding_text(spark, sf):
     return _titled(spark, sf).select("doc_id", sections.embedding_text("title", "lang", "source", F.lit(""), null, F.lit(""), null, "text").alias("embedding_text"))
 
 
-@query(f"SELECT doc_id, CASE WHEN length(text) > 500 THEN text[1:500] || '…' ELSE text END AS preview FROM documents")
+@query(f"SELECT doc_id, CASE WHEN length(text) > 500 THEN text[1:500] || '...' ELSE text END AS preview FROM documents")
 def retrieval_preview(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", rag.preview("text").alias("preview"))
 
@@ -501,16 +512,16 @@ def _linked(spark, sf):
 _LINKABLE = [(i, t) for i, t in enumerate(TITLES) if any(w.upper() in L.ANCHOR_STEMS for w in t.split()[:2]) and len(t.split()) >= 3]
 
 
-@query(f"WITH d AS (SELECT doc_id::VARCHAR AS stem, 'Див. ' || lower({_list(TITLES)}[(doc_id % {len(TITLES)} + 1)::INT]) || '; також КОДЕКС АКАДЕМІЧНОЇ ДОБРОЧЕСНОСТІ УНІВЕРСИТЕТУ. ' || text[1:50] AS body FROM documents), s AS (SELECT * FROM (VALUES {', '.join(f'({_sql(f"t {i}")}, {_sql(t.lower())})' for i, t in _LINKABLE)}) v(target, t)) SELECT stem, target, (strpos(lower(body), t) - 1)::INT AS start FROM d JOIN s ON contains(lower(body), t)")
+@query(f"WITH d AS (SELECT doc_id::VARCHAR AS stem, 'Див. ' || lower({_list(TITLES)}[(doc_id % {len(TITLES)} + 1)::INT]) || '; також КОДЕКС АКАДЕМІЧНОЇ ДОБРОЧЕСНОСТІ УНІВЕРСИТЕТУ. ' || text AS body FROM documents), s AS (SELECT * FROM (VALUES {', '.join(f'({_sql(f"t {i}")}, {_sql(t.lower())})' for i, t in _LINKABLE)}) v(target, t)) SELECT stem, target, (strpos(lower(body), t) - 1)::INT AS start FROM d JOIN s ON contains(lower(body), t)")
 def xref_edges(spark, sf):
     d, specs = _linked(spark, sf)
-    return links.mentions(d, specs, len(TITLES)).select("stem", "target", "start")
+    return links.mentions(d, specs).select("stem", "target", "start")
 
 
 @query()
 def xref_linked_bodies(spark, sf):
     d, specs = _linked(spark, sf)
-    return links.link_cross_references(d, specs, len(TITLES))
+    return links.link_cross_references(d, specs)
 
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (length({STRIP('text')}) >= 40) AS succeeded, count(*) FILTER (length({STRIP('text')}) < 40) AS used_ocr, count(*) FILTER (text IS NULL) AS failed FROM documents")
@@ -531,6 +542,51 @@ def guessed_titles(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", metadata.title(cover).alias("title"))
 
 
+_ASKED = "SELECT conv_id, turn, role, text, coalesce(text, '') AS t FROM conversations"
+
+
+@query(f"SELECT conv_id, turn, 'Контекст (фрагменти документів):' || chr(10) || chr(10) || t || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Питання: ' || role AS prompt FROM ({_ASKED})")
+def answer_prompts(spark, sf):
+    c = _read(spark, sf, "conversations").withColumn("t", F.coalesce("text", F.lit("")))
+    return c.select("conv_id", "turn", rag.answer_prompt("t", "role").alias("prompt"))
+
+
+_ENTRY = "'  [' || (turn + 1) || '] ' || role || chr(10) || '      Пункт: ' || CASE WHEN turn % 2 = 0 THEN '—' ELSE 'p' || turn END || chr(10) || '      №— від ' || conv_id || ' | wiki-pages/' || conv_id || '.md (similarity ' || printf('%.3f', (turn + 1) / 8.0) || ')'"
+
+
+@query(f"SELECT conv_id, 'Питання: q' || conv_id || chr(10) || chr(10) || 'Відповідь:' || chr(10) || min(t) || chr(10) || chr(10) || 'Використані фрагменти:' || chr(10) || string_agg({_ENTRY}, chr(10) ORDER BY turn, {_ENTRY}) AS report FROM ({_ASKED}) GROUP BY conv_id")
+def answer_reports(spark, sf):
+    c = _read(spark, sf, "conversations").withColumn("t", F.coalesce("text", F.lit("")))
+    path = F.when(F.col("turn") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("p"), "turn"))
+    entry = rag.used_fragment(F.col("turn") + 1, "role", path, F.lit(None).cast("string"), F.col("conv_id").cast("string"), F.concat(F.lit("wiki-pages/"), "conv_id", F.lit(".md")), (F.col("turn") + 1) / 8.0)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", entry.alias("e")))), lambda x: x["e"])
+    got = c.groupBy("conv_id").agg(F.min("t").alias("answer"), ordered.alias("fragments"))
+    return got.select("conv_id", rag.answer_report(F.concat(F.lit("q"), "conv_id"), "answer", "fragments").alias("report"))
+
+
+@query(f"SELECT doc_id, '--- #' || (doc_id % 9) || ' (similarity ' || printf('%.3f', (doc_id % 8) / 8.0) || ') ---' || chr(10) || 'Документ: ' || title || chr(10) || 'Категорія: ' || lang || CASE WHEN doc_id % 2 = 0 THEN ' / ' || source ELSE '' END || chr(10) || 'Статус: s  №n від d' || chr(10) || 'Розділ: p' || chr(10) || 'Файл: f' || chr(10) || CASE WHEN length(text) > 500 THEN text[1:500] || '...' ELSE text END AS entry FROM ({TITLE_ROWS})")
+def retrieval_entries(spark, sf):
+    subgroup = F.when(F.col("doc_id") % 2 == 0, F.col("source"))
+    fixed = [F.lit(x) for x in "sndpf"]
+    return _titled(spark, sf).select("doc_id", rag.retrieval_entry(F.col("doc_id") % 9, (F.col("doc_id") % 8) / 8.0, "title", "lang", subgroup, *fixed, "text").alias("entry"))
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(url, '/en/')")
+def pages_of_a_part(spark, sf):
+    return wiki.site_pages(_read(spark, sf, "pages"), "url", "/en/").select("page_id", "url")
+
+
+@query(f"SELECT title, lang AS status, doc_id::VARCHAR AS order_number, source AS order_date FROM ({TITLE_ROWS})")
+def index_rows(spark, sf):
+    return wiki.index_rows(_titled(spark, sf).withColumns({"status": F.col("lang"), "order_number": F.col("doc_id").cast("string"), "order_date": F.col("source")}))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'word' WHEN page_id % 5 = 1 THEN 'ocr document' WHEN length(trim(url)) < 40 OR length(regexp_replace(url, '[^\\p{L}]', '', 'g')) / length(url) < 0.3 THEN 'ocr page' ELSE 'text' END AS route FROM pages")
+def page_routes(spark, sf):
+    path = F.when(F.col("page_id") % 5 == 0, F.lit("a/B.DOCX")).otherwise(F.lit("a/b.pdf"))
+    return _read(spark, sf, "pages").select("page_id", rag.page_route(path, "url", F.when(F.col("page_id") % 5 == 1, F.lit("broken"))).alias("route"))
+
+
 # ---- pages, titles, forms, reports
 
 _PROSE = "SELECT l_orderkey, (l_partkey % 97)::DOUBLE AS top, l_quantity AS x0, l_linenumber::BIGINT AS pos, l_linestatus || l_suppkey AS line FROM lineitem WHERE l_linenumber > 2"

@@ -38,9 +38,31 @@ def markdown_record(optional: tuple[str, ...] = ("category", "subgroup")) -> Col
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *fixed, locked, *extra), F.lit("\n---\n\n"), F.col("body"))
 
 
-def write_records(docs: DataFrame, path: str) -> None:
-    """A text file per stem under path/stem=..., committed by Spark's writer."""
-    docs.select("stem", markdown_record().alias("value")).write.mode("overwrite").partitionBy("stem").option("lineSep", "\n").text(path)
+def write_records(docs: DataFrame, folder: str, link: str = "/wiki-pages/") -> int:
+    """A file <stem>.md per document in folder (a path or URI that Arrow's file systems know); returns the number of links in their bodies.
+
+    A file is written under a name of its own and then moved, so it is whole whenever it is there, also if its task runs twice. Files of
+    documents that are not in docs stay as they are.
+    """
+
+    def run(frames):
+        import uuid
+
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system.create_dir(top, recursive=True)
+        for f in frames:
+            for stem, value in zip(f["stem"], f["value"]):
+                part = f"{top}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(value.encode())
+                system.move(part, f"{top}/{stem}.md")
+            yield f[["links"]]
+
+    count = F.size(F.regexp_extract_all("body", F.lit(r"\]\([^)\s]*" + link), F.lit(0))).cast("long")
+    rows = docs.select("stem", markdown_record().alias("value"), count.alias("links"))
+    return rows.mapInPandas(run, "links long").agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0]
 
 
 def changed(before: Column, after: Column) -> Column:

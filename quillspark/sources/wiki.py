@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 _S = T.StringType()
 _PERSON = T.StructType([T.StructField("position", _S), T.StructField("name", _S)])
@@ -47,13 +47,34 @@ def _parse(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t) for t in texts], columns=FRONT.names)
 
 
+def file_stem() -> Column:
+    """The name of the file that a row comes from, without .md; Spark gives it URL-encoded."""
+    return F.regexp_replace(F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))), r"\.md$", "")
+
+
 def read_wiki(spark: SparkSession, folder: str) -> DataFrame:
     """One row per *.md file: stem, the front matter's fields, fm_ok (false where it doesn't parse), body. Titles default to the stem."""
-    files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(F.regexp_replace(F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))), r"\.md$", "").alias("stem"), F.col("value").alias("text"))
+    files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(file_stem().alias("stem"), F.col("value").alias("text"))
     parsed = split_front_matter(files).withColumn("fm", F.pandas_udf(_parse, FRONT)("front"))
     return parsed.select("stem", "fm.*", "body", F.col("front").isNotNull().alias("has_front")).withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.col("stem")))
 
 
+def load_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The collection as an audit reads it: files with front matter, missing fields empty."""
+    fields = {c: F.coalesce(c, F.lit("")) for c in ("status", "order_number", "order_date")}
+    return read_wiki(spark, folder).where("has_front").withColumns(fields).select("stem", "title", "status", "order_number", "order_date", "body")
+
+
+def site_pages(pages: DataFrame, path: str = "path", part: str = "wiki-pages/") -> DataFrame:
+    """Pages of a site whose path holds part."""
+    return pages.where(F.contains(F.col(path), F.lit(part)))
+
+
+def index_rows(docs: DataFrame) -> DataFrame:
+    """What the index shows of a document."""
+    return docs.select("title", "status", "order_number", "order_date")
+
+
 def read_binary(spark: SparkSession, folder: str) -> DataFrame:
     """PDF files, then DOCX files, as binary rows for a page reader."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder).unionByName(spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(folder))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.operators.sections import chunk_documents
-from quillspark.sources.wiki import split_front_matter
+from quillspark.sources.wiki import file_stem, split_front_matter
 
 
 def stream_wiki(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.readStream.option("pathGlobFilter", "*.md").option("wholetext", "true").text(folder)
-    return split_front_matter(files.select(F.regexp_replace("_metadata.file_name", r"\.md$", "").alias("stem"), F.col("value").alias("text"))).select("stem", "body")
+    return split_front_matter(files.select(file_stem().alias("stem"), F.col("value").alias("text"))).select("stem", "body")
 
 
 def chunk_stream(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.operators import catalog, classify, lines, metadata, sections
+from quillspark.operators import catalog, classify, lines, links, metadata, sections
 from quillspark.operators.graph import connected_components
 from quillspark.plans import rag
 from quillspark.sources import sinks, wiki
@@ -170,3 +170,102 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 5
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pages_are_routed_and_analysed(spark):
+    good, weak = "Достатньо довгий рядок тексту на сторінці документа. ", "12"
+
+    class Pdf:
+        def pages(self, content):
+            if content == b"broken":
+                raise ValueError("no layer")
+            for n, x in enumerate(content.decode().split("|"), 1):
+                yield n, x, x
+
+    class Ocr:
+        def document(self, content):
+            yield 1, "розпізнано цілком", "розпізнано цілком"
+
+        def page(self, content, page_no):
+            return f"сторінка {page_no}", f"сторінка {page_no}"
+
+    class Word:
+        def paragraphs(self, content):
+            return ["перший", "другий"]
+
+        def cells(self, content):
+            return ["комірка", " ", "ще одна"]
+
+    rows = [("d/a.pdf", f"{good}|{weak}".encode()), ("d/b.pdf", b"broken"), ("d/c.DOCX", b""), ("d/e.pdf", good.encode())]
+    files = spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")
+    pages = rag.extract_pages(files, Pdf, Ocr, Word)
+    got = {(r["path"], r["page_no"]): (r["raw"], r["used_ocr"]) for r in pages.collect()}
+    assert got == {
+        ("d/a.pdf", 1): (good, False),
+        ("d/a.pdf", 2): ("сторінка 2", True),
+        ("d/b.pdf", 1): ("розпізнано цілком", True),
+        ("d/c.DOCX", 1): ("перший\nдругий\nкомірка\nще одна", False),
+        ("d/e.pdf", 1): (good, False),
+    }
+    more = pages.unionByName(spark.createDataFrame([("d/x.pdf", None, None, None, True, "lost"), ("d/y.pdf", 1, " ", " ", True, None)], pages.schema))
+    previous = spark.createDataFrame([("a", "Закріплена назва", True), ("e", "Стара назва", False)], "stem string, title string, title_locked boolean")
+    docs = {r["stem"]: r for r in rag.analyze_documents(more, previous).collect()}
+    assert (docs["a"]["title"], docs["a"]["title_locked"], docs["a"]["n_pages"], docs["a"]["used_ocr"]) == ("Закріплена назва", True, 2, True)
+    assert docs["a"]["body"].strip().endswith("сторінка 2") and docs["e"]["title"] != "Стара назва"
+    assert (docs["x"]["error"], docs["x"]["body"], docs["y"]["error"]) == ("lost", None, "no text extracted")
+
+
+def test_answers_and_records(spark, tmp_path):
+    class Model:
+        def answer(self, system, user):
+            assert system.startswith("Ти — асистент")
+            return f"відповідь: {len(user)}"
+
+    asked = spark.createDataFrame([(1, "питання")], "id int, p string")
+    assert [r["answer"] for r in rag.answer(asked, "p", Model).collect()] == ["відповідь: 7"]
+    body = "## I. Розділ\n\n" + "Речення документа. " * 40 + "[Статут](/wiki-pages/s.html)\n"
+    text = lambda t: f"---\ntitle: '{t}'\nstatus: s\ncategory: k\n---\n{body}"
+    (tmp_path / "in").mkdir()
+    for name in ("a б.md", "c+d.md"):
+        (tmp_path / "in" / name).write_text(text(name), "utf-8")
+    (tmp_path / "in" / "bare.md").write_text("без заголовка", "utf-8")
+    docs = wiki.read_wiki(spark, str(tmp_path / "in"))
+    loaded = {r["stem"]: (r["title"], r["order_number"]) for r in wiki.load_documents(spark, str(tmp_path / "in")).collect()}
+    assert loaded == {"a б": ("a б.md", ""), "c+d": ("c+d.md", "")}
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "old.md").write_text("stays", "utf-8")
+    assert sinks.write_records(docs.where("has_front"), str(tmp_path / "out")) == 2
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a б.md", "c+d.md", "old.md"]
+    again = {r["stem"]: r["title"] for r in wiki.read_wiki(spark, str(tmp_path / "out")).collect()}
+    assert again["a б"] == "a б.md" and again["old"] == "old"
+    records = sections.chunk_records(docs.where("has_front"))
+    sinks.write_chunks(records, str(tmp_path / "chunks"))
+    chunks = {r["chunk_id"]: r for r in wiki.read_chunks(spark, str(tmp_path / "chunks")).collect()}
+    assert set(chunks) >= {"a б::0", "c+d::0"} and chunks["a б::0"]["wiki_page"] == "wiki-pages/a б.md"
+    assert chunks["a б::0"]["embedding_text"].startswith("Документ: a б.md\nКатегорія: k\n")
+    vectors_of = wiki.read_chunks(spark, str(tmp_path / "chunks")).withColumn("embedding", F.array(F.lit(3.0).cast("float"), F.lit(4.0).cast("float")))
+    sinks.write_vectors(vectors_of, str(tmp_path / "vectors"))
+    row = wiki.read_vectors(spark, str(tmp_path / "vectors")).first()
+    assert row["order_number"] == "" and row["status"] == "s" and row["document"]
+
+
+def test_streamed_stems_and_chunks(spark, tmp_path):
+    from quillspark.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a б.md").write_text("---\ntitle: x\n---\n## Розділ\n\nТекст документа, який досить довгий для шматка.\n", "utf-8")
+    ingest.chunk_stream(ingest.stream_wiki(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert {r["stem"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a б"}
+
+
+def test_mentions_equal_every_pattern_on_every_body(spark):
+    rnd = random.Random(3)
+    titles = ["Положення про відділ кадрів", "Положення про Вчену раду факультету", "Кодекс академічної доброчесності", "Тимчасове положення про практику", "Порядок прийому", "Правила прийому на навчання"]
+    forms = ["положення про відділ кадрів", "Положенням про відділ кадрів", "кодексу академічної доброчесності", "тимчасового положення про практику", "Положення про вчену раду факультетуX", "xтимчасове положення про практику", "правилами прийому на навчання", "порядок прийому"]
+    docs = spark.createDataFrame([(f"t{i}" if i < 6 else f"d{i}", " і ".join(rnd.choice(forms) for _ in range(3))) for i in range(60)], "stem string, body string")
+    specs = links.link_specs(spark.createDataFrame([(f"t{i}", t) for i, t in enumerate(titles)], "stem string, title string"))
+    got = {tuple(r) for r in links.mentions(docs, specs).collect()}
+    plain = links._located(docs.crossJoin(specs).where("stem <> target"), "stem", "body")
+    assert got == {tuple(r) for r in plain.collect()} and len(got) > 40
+    linked = links.link_cross_references(docs, specs).collect()
+    assert all(r["body"].count("](/wiki-pages/") == r["n_links"] for r in linked) and sum(r["n_links"] for r in linked) > 40
