@@ -25,20 +25,40 @@ def document_frequency(counts: DataFrame, n_docs: Column | int, min_df: int = 2,
     return counts.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.lit(n_docs)))
 
 
+def _spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores, where a file or two with few row groups would leave most of them idle."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", min_df: int = 2, max_df: float = 0.15) -> DataFrame:
-    """(id, term, weight): 1 + ln tf times ln((1 + n) / (1 + df)) + 1, unit length per document; n counts all documents."""
+    """(id, term, df, weight): 1 + ln tf times ln((1 + n) / (1 + df)) + 1, unit length per document; n counts all documents."""
     n = docs.count()
-    counts = materialize(term_counts(docs, key, text), "terms")  # read for the frequencies, the weights and both sides of pairs
+    counts = materialize(term_counts(_spread(docs.select(key, text)), key, text), "terms")  # read for the frequencies and for the weights
     df = document_frequency(counts, n, min_df, max_df)
-    raw = counts.join(df, "term").select("id", "term", ((1 + F.log("tf")) * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)).alias("w"))
-    return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))).select("id", "term", "weight")
+    raw = counts.join(df, "term").select("id", "term", "df", ((1 + F.log("tf")) * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)).alias("w"))
+    return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))).select("id", "term", "df", "weight")
 
 
 def cosine_edges(weights: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """(src, dst, sim) with src < dst: pairs meet by shared term, so unrelated documents never do; pruning bounds each term's fan-out."""
-    a, b = weights.alias("a"), weights.alias("b")
-    pairs = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id")))
-    sims = pairs.groupBy(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("sim"))
+    """(src, dst, sim) with src < dst, of the rows of tfidf(): all pairs that share a term and have that similarity or more.
+
+    Terms have one order, rarest first. Two documents meet at a common term only if the norms of what each has from that term on multiply to
+    two thirds of the threshold or more; so what meets leave out adds up to less than that (Cauchy-Schwarz), and only pairs whose meets add up to the other
+    third are compared in full. Common terms, where most pairs meet, come last and hardly ever count. A hash that two terms share adds a candidate, no more.
+    """
+    cut, slack = threshold * 2 / 3, 1e-6
+    onward = Window.partitionBy("id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    square = F.col("weight") * F.col("weight")
+    kept = materialize(weights.where("id IS NOT NULL").select("id", "term", "weight", F.xxhash64("term").alias("h"), F.sqrt(F.sum(square).over(onward)).alias("norm")), "weights")
+    low = kept.where(F.col("norm") >= cut - slack).drop("term")
+    a, b = low.alias("a"), low.alias("b")
+    meets = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.norm") * F.col("b.norm") >= cut - slack))
+    dot = F.sum(F.col("a.weight") * F.col("b.weight"))
+    found = meets.groupBy(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).agg(dot.alias("part")).where(F.col("part") >= threshold - cut - slack)
+    found = materialize(found.select("src", "dst"), "candidates")
+    ours, theirs = kept.select(F.col("id").alias("src"), "h", "term", "weight"), kept.select(F.col("id").alias("dst"), "h", "term", F.col("weight").alias("other"))
+    sims = found.join(ours, "src").join(theirs, ["dst", "h", "term"]).groupBy("src", "dst").agg(F.sum(F.col("weight") * F.col("other")).alias("sim"))
     return sims.where(F.round("sim", 9) >= threshold)
 
 
