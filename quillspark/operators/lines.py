@@ -170,12 +170,19 @@ def continues_heading(heading: Column | str, line: Column | str) -> Column:
     return ~F.rlike(h, F.lit(r"[.;:!?]$")) & (F.length(x) <= 120) & ~F.rlike(x, F.lit(L.BLOCK_MARKER)) & ~header & is_mostly_uppercase(h) & is_mostly_uppercase(x)
 
 
+#: Finished lines that join_wrapped_lines() copies from step to step; older ones are joined into blocks.
+_BLOCK_LINES = 128
+
+
 def join_wrapped_lines(text: Column | str) -> Column:
     """Lines that go on from the last line that isn't blank are joined to it; blank lines between the halves go.
 
-    A fold, since the test for headings reads what has been joined so far. State: lines, place of the last text, whether it is a heading.
+    A fold, since the test for headings reads what has been joined so far. State: blocks of finished lines, the finished lines since, the last
+    line that isn't blank, the blank lines after it, whether it is a heading. So a step copies a block's lines, whatever the length of the text.
     """
-    state = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(0).alias("last"), F.lit(False).alias("heading"))
+    none = F.expr("cast(array() as array<string>)")
+    state = F.struct(none.alias("blocks"), none.alias("done"), F.lit(None).cast("string").alias("last"), F.lit(0).alias("blank"), F.lit(False).alias("heading"))
+    since = lambda s: F.concat(F.when(s["last"].isNull(), none).otherwise(F.array(s["last"])), F.array_repeat(F.lit(""), s["blank"]))
 
     def step(s, raw):
         line = F.regexp_replace(raw, r"[\s\x{A0}]+$", "")
@@ -183,21 +190,20 @@ def join_wrapped_lines(text: Column | str) -> Column:
         head = F.rlike(line, F.lit(r"^#{2,6} "))
         number = point_number(body)
         tail = F.when(number.isNotNull(), F.regexp_replace(body, r"^(?:[IVXLCDM]{1,6}\.|\d{1,3}(?:\.\d{1,3}){0,3}\.?)\s+", "")).otherwise(body)
-        previous = F.get(s["out"], s["last"] - 1)
-        before = plain_heading(F.coalesce(previous, F.lit("")))
-        usable = (s["last"] > 0) & (before != "") & ~F.startswith(before, F.lit("|"))
+        before = plain_heading(F.coalesce(s["last"], F.lit("")))
+        usable = (before != "") & ~F.startswith(before, F.lit("|"))
         marker = F.rlike(body, F.lit(L.BLOCK_MARKER))
         sentence = continues_sentence(before, tail) & (number.isNotNull() | ~marker)
         title = s["heading"] & number.isNull() & ~head & continues_heading(before, body)
-        glue = usable & (sentence | title)
-        glued = F.concat(F.slice(s["out"], F.lit(1), F.greatest(s["last"] - 1, F.lit(0))), F.array(F.concat_ws(" ", previous, body)))
-        added = F.concat(s["out"], F.array(line))
-        blank = F.struct(F.concat(s["out"], F.array(F.lit(""))).alias("out"), s["last"].alias("last"), s["heading"].alias("heading"))
-        joined = F.struct(glued.alias("out"), s["last"].alias("last"), s["heading"].alias("heading"))
-        fresh = F.struct(added.alias("out"), F.size(added).alias("last"), head.alias("heading"))
-        return F.when(strip(line) == "", blank).when(glue, joined).otherwise(fresh)
-
-    return F.aggregate(F.split(col(text), "\n", -1), state, step, lambda s: F.array_join(s["out"], "\n"))
+        full = F.size(s["done"]) >= _BLOCK_LINES
+        blocks = F.when(full, F.concat(s["blocks"], F.array(F.array_join(s["done"], "\n")))).otherwise(s["blocks"])
+        done = F.concat(F.when(full, none).otherwise(s["done"]), since(s))
+        blank = s.withField("blank", s["blank"] + 1)
+        joined = s.withField("last", F.concat_ws(" ", s["last"], body)).withField("blank", F.lit(0))
+        fresh = F.struct(blocks.alias("blocks"), done.alias("done"), line.alias("last"), F.lit(0).alias("blank"), head.alias("heading"))
+        return F.when(strip(line) == "", blank).when(usable & (sentence | title), joined).otherwise(fresh)
+
+    return F.aggregate(F.split(col(text), "\n", -1), state, step, lambda s: F.array_join(F.concat(s["blocks"], s["done"], since(s)), "\n"))
 
 
 def drop_contents(text: Column | str, start_lines: int = 15, long_line: int = 150, reach: int = 80) -> Column:
