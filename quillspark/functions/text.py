@@ -15,6 +15,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bind(value: Column, f) -> Column:
+    """f(value), where value is computed once, however often f uses it and in whatever lambda."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def strip(x: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(col(x), rf"^{_BLANK}+", ""), rf"{_BLANK}+$", "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions import lexicon as L
-from quillspark.functions.text import col, is_mostly_uppercase, matches, point_number, starts_with_month, strip
+from quillspark.functions.text import bind, col, is_mostly_uppercase, matches, point_number, starts_with_month, strip
 
 
 def explode_lines(df: DataFrame, text: str, key: list[str]) -> DataFrame:
@@ -210,39 +210,51 @@ def drop_contents(text: Column | str, start_lines: int = 15, long_line: int = 15
     """Body without its table of contents. The header must be among the first lines that aren't blank; the body begins at the
     first sub-point or long line, or at its own headings just before that; with no body in reach only the header goes.
     """
-    lines = F.split(col(text), "\n", -1)
     plain = lambda x: strip(plain_heading(x))
-    tagged = F.transform(lines, lambda x, i: F.struct(i.alias("i"), plain(x).alias("t")))
-    filled = F.filter(tagged, lambda x: x["t"] != "")
-    head = F.get(F.filter(F.slice(filled, F.lit(1), F.lit(start_lines)), lambda x: F.rlike(x["t"], F.lit("(?iu)" + L.CONTENTS_HEADER))), 0)["i"]
     opens = lambda x: F.rlike(x["t"], F.lit(r"^\d{1,3}\.\d")) | (F.length(x["t"]) > long_line)
-    first = F.get(F.filter(tagged, lambda x: (x["i"] > head) & (x["i"] <= head + reach) & opens(x)), 0)
-    part = F.regexp_extract(first["t"], r"^(\d{1,3})", 1)
-    walk = F.reverse(F.filter(tagged, lambda x: (x["i"] > head) & (x["i"] < first["i"])))
-
-    def back(s, x):
-        number = point_number(x["t"])
-        own = number.isin("1", "I") | F.coalesce(number == F.nullif(part, F.lit("")), F.lit(False))
-        marker = F.rlike(x["t"], F.lit(L.BLOCK_MARKER))
-        stay = lambda at, stop: F.struct(at.alias("at"), stop.alias("stop"))
-        return (
-            F.when(s["stop"] | (x["t"] == ""), s)
-            .when(number.isNotNull(), stay(F.when(own, x["i"]).otherwise(s["at"]), F.lit(True)))
-            .when(marker, stay(x["i"], F.lit(False)))
-            .otherwise(stay(s["at"], F.length(x["t"]) > long_line))
-        )
-
-    start = F.aggregate(walk, F.struct(first["i"].alias("at"), F.lit(False).alias("stop")), back, lambda s: s["at"])
-    size = F.size(lines)
-    keep = lambda a, b: F.when(b > a, F.slice(lines, a + 1, F.greatest(b - a, F.lit(1)))).otherwise(F.expr("cast(array() as array<string>)"))
-    gone = F.when(first.isNull(), F.concat(keep(F.lit(0), head), keep(head + 1, size))).otherwise(F.concat(keep(F.lit(0), head), keep(start, size)))
-    return F.when(head.isNull(), col(text)).otherwise(F.array_join(gone, "\n"))
+
+    def header(tagged):
+        filled = F.slice(F.filter(tagged, lambda x: x["t"] != ""), F.lit(1), F.lit(start_lines))
+        return F.get(F.filter(filled, lambda x: F.rlike(x["t"], F.lit("(?iu)" + L.CONTENTS_HEADER))), 0)["i"]
+
+    def opening(tagged, head):
+        return F.get(F.filter(F.slice(tagged, head + 2, F.lit(reach)), opens), 0)
+
+    def start(tagged, head, first, part):
+        def back(s, x):
+            number = point_number(x["t"])
+            own = number.isin("1", "I") | F.coalesce(number == F.nullif(part, F.lit("")), F.lit(False))
+            marker = F.rlike(x["t"], F.lit(L.BLOCK_MARKER))
+            stay = lambda at, stop: F.struct(at.alias("at"), stop.alias("stop"))
+            return (
+                F.when(s["stop"] | (x["t"] == ""), s)
+                .when(number.isNotNull(), stay(F.when(own, x["i"]).otherwise(s["at"]), F.lit(True)))
+                .when(marker, stay(x["i"], F.lit(False)))
+                .otherwise(stay(s["at"], F.length(x["t"]) > long_line))
+            )
+
+        walk = F.reverse(F.slice(tagged, head + 2, first["i"] - head - 1))
+        return F.aggregate(walk, F.struct(first["i"].alias("at"), F.lit(False).alias("stop")), back, lambda s: s["at"])
+
+    def kept(lines, tagged, head, first):
+        rest = bind(F.regexp_extract(first["t"], r"^(\d{1,3})", 1), lambda part: start(tagged, head, first, part))
+        return F.concat(F.slice(lines, F.lit(1), head), F.slice(lines, F.when(first.isNull(), head + 1).otherwise(rest) + 1, F.size(lines)))
+
+    def cut(lines, tagged, head):
+        found = bind(opening(tagged, head), lambda first: F.array_join(kept(lines, tagged, head, first), "\n"))
+        return F.when(head.isNull(), F.array_join(lines, "\n")).otherwise(found)
+
+    tag = lambda lines: F.transform(lines, lambda x, i: F.struct(i.alias("i"), plain(x).alias("t")))
+    return bind(F.split(col(text), "\n", -1), lambda lines: bind(tag(lines), lambda tagged: bind(header(tagged), lambda head: cut(lines, tagged, head))))
 
 
 def clean_markdown(markdown: Column | str) -> Column:
     """Front matter as it is, body without contents table and with wrapped lines joined."""
-    x = col(markdown)
-    end = F.when(F.startswith(x, F.lit("---\n")), F.locate("\n---\n", x, 5)).otherwise(F.lit(0))
-    front = F.when(end > 0, F.substring(x, F.lit(1), end + 4)).otherwise(F.lit(""))
-    body = F.when(end > 0, F.substring(x, end + 5, F.length(x))).otherwise(x)
-    return F.concat(front, join_wrapped_lines(drop_contents(body)))
+
+    def cleaned(x, end):
+        front = F.when(end > 0, F.substring(x, F.lit(1), end + 4)).otherwise(F.lit(""))
+        body = F.when(end > 0, F.substring(x, end + 5, F.length(x))).otherwise(x)
+        return F.concat(front, join_wrapped_lines(drop_contents(body)))
+
+    end = lambda x: F.when(F.startswith(x, F.lit("---\n")), F.locate("\n---\n", x, 5)).otherwise(F.lit(0))
+    return bind(col(markdown), lambda x: bind(end(x), lambda at: cleaned(x, at)))

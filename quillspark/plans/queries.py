@@ -407,7 +407,22 @@ def chunk_stats(spark, sf):
     return s.select("n_docs", "n_chunks", "min_chars", "median_chars", "max_chars", "single_chunk_docs")
 
 
-@query()
+_BODIES = "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 12 = 1 THEN '## ' || x WHEN i % 4 = 1 THEN '### ' || x ELSE x END), chr(10)) AS body FROM documents"
+_PARS = lambda c: rf"list_filter(list_transform(regexp_split_to_array({c}, '\n\s*\n'), lambda x: {STRIP('x')}), lambda x: x <> '')"
+_GREEDY = lambda c: f"list_reduce(list_transform({c}, lambda x: {{'done': []::VARCHAR[], 'open': x, 'n': length(x) + 2}}), lambda s, x: CASE WHEN s.n + x.n - 2 > {L.TARGET_CHUNK} THEN {{'done': list_append(s.done, s.open), 'open': x.open, 'n': x.n}} ELSE {{'done': s.done, 'open': s.open || chr(10) || chr(10) || x.open, 'n': s.n + x.n}} END)"
+_SPACE = lambda c: f"coalesce(nullif(length(regexp_extract({c}[1:{L.TARGET_CHUNK}], '^((?s:.*)) ', 1)), 0), {L.TARGET_CHUNK})"
+_CUT = lambda c: f"CASE WHEN length({c}) > {L.MAX_CHUNK} THEN {STRIP(f'{c}[1:{_SPACE(c)}]')} ELSE {c} END, CASE WHEN length({c}) > {L.MAX_CHUNK} THEN {STRIP(f'{c}[{_SPACE(c)} + 1:]')} END"
+_CHUNKS = f"""WITH RECURSIVE {_MERGED},
+bare AS (SELECT doc_id, {_GREEDY('ps')} AS g FROM (SELECT doc_id, {_PARS('body')} AS ps FROM ({_BODIES}) WHERE doc_id NOT IN (SELECT doc_id FROM merged)) WHERE len(ps) > 0),
+whole AS (SELECT doc_id, chunk, path, text, {_PARS('text')} AS ps FROM (FROM merged UNION ALL SELECT doc_id, (unnest(range(len(g.done) + 1)))::INT, '', unnest(list_append(g.done, g.open)) FROM bare)),
+packed AS (SELECT doc_id, chunk, path, CASE WHEN length(text) > {L.MAX_CHUNK} THEN {_GREEDY('ps')} ELSE {{'done': []::VARCHAR[], 'open': text, 'n': 0}} END AS g FROM whole WHERE length(text) <= {L.MAX_CHUNK} OR len(ps) > 1),
+giant(doc_id, chunk, path, piece, t, rest) AS (SELECT doc_id, chunk, path, 0, {_CUT('t')} FROM (SELECT *, {STRIP('text')} AS t FROM whole WHERE length(text) > {L.MAX_CHUNK} AND len(ps) <= 1)
+  UNION ALL SELECT doc_id, chunk, path, piece + 1, {_CUT('rest')} FROM giant WHERE rest IS NOT NULL),
+pieces AS (SELECT doc_id, chunk, path, piece, t FROM giant UNION ALL SELECT doc_id, chunk, path, unnest(range(len(g.done) + 1)), unnest(list_append(g.done, g.open)) FROM packed)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk, piece) - 1)::INT AS chunk_index, path AS section_path, {STRIP('t')} AS text FROM pieces WHERE {STRIP('t')} <> ''"""
+
+
+@query(_CHUNKS)
 def chunk_documents(spark, sf):
     return sections.chunk_documents(_headed(spark, sf), ["doc_id"])
 
@@ -518,7 +533,13 @@ def xref_edges(spark, sf):
     return links.mentions(d, specs).select("stem", "target", "start")
 
 
-@query()
+_HITS = f"hit AS (SELECT stem, (strpos(lower(body), t) - 1)::INT AS pos, length(t)::INT AS n, target FROM d JOIN s ON contains(lower(body), t))"
+_SPANS = "list_reduce(list({'spans': [{'pos': pos, 'n': n, 'target': target}], 'upto': pos + n} ORDER BY pos, n, target), lambda s, x: CASE WHEN x.spans[1].pos < s.upto THEN s ELSE {'spans': list_concat(s.spans, x.spans), 'upto': x.upto} END).spans"
+
+
+@query(f"WITH d AS (SELECT doc_id::VARCHAR AS stem, 'Див. ' || lower({_list(TITLES)}[(doc_id % {len(TITLES)} + 1)::INT]) || '; також КОДЕКС АКАДЕМІЧНОЇ ДОБРОЧЕСНОСТІ УНІВЕРСИТЕТУ. ' || text AS body FROM documents), s AS (SELECT * FROM (VALUES {', '.join(f'({_sql(f"t {i}")}, {_sql(t.lower())})' for i, t in _LINKABLE)}) v(target, t)), {_HITS}, "
+       f"a AS (SELECT stem, {_SPANS} AS spans FROM hit GROUP BY stem), p AS (SELECT stem, list_concat([{{'pos': 0, 'n': 0, 'target': NULL}}], spans) AS x FROM a) "
+       "SELECT stem, CASE WHEN x IS NULL THEN body ELSE array_to_string(list_transform(x, lambda y, i: CASE WHEN i > 1 THEN '[' || body[y.pos + 1:y.pos + y.n] || '](/wiki-pages/' || replace(y.target, ' ', '%20') || '.html)' ELSE '' END || CASE WHEN i < len(x) THEN body[y.pos + y.n + 1:x[i + 1].pos] ELSE body[y.pos + y.n + 1:] END), '') END AS body, coalesce(len(x) - 1, 0)::INT AS n_links FROM d LEFT JOIN p USING (stem)")
 def xref_linked_bodies(spark, sf):
     d, specs = _linked(spark, sf)
     return links.link_cross_references(d, specs)
@@ -531,9 +552,29 @@ def run_statistics(spark, sf):
     return d.agg(F.count("*").alias("total"), F.count_if(~broken).alias("succeeded"), F.count_if(broken).alias("used_ocr"), F.count_if(F.col("text").isNull()).alias("failed"))
 
 
-@query()
+#: What cleaned_markdown puts before bodies: front matter, a table of contents, and the first headings of the body.
+_FRONT, _CONTENTS, _OPENING = "---\ntitle: а\n---\n", "ЗМІСТ\nВступ\n1. Загальне\n", "## 1. Загальне\n1.1. Текст пункту\n"
+_NUMBERED = lambda c: f"(regexp_matches({c}, {_sql(L.SECTION)}) OR (regexp_matches({c}, {_sql(L.POINT)}) AND NOT list_contains({_list(L.MONTHS)}, regexp_replace(lower(regexp_extract({c}, '{L.POINT[:-7]}(\\S+)', 2)), '[.,]+$', ''))))"
+_ANY_HEADER = _sql(X.to_re2("|".join(f"(?:{p})" for p in L.RUNNING_HEADERS)))
+_PLAIN = lambda c: f"regexp_replace({c}, '^#{{2,6}} ', '')"
+_FIELDS = "'body': s.body, 'num': s.num, 'tail': s.tail, 'marker': s.marker"
+_BEFORE = _PLAIN("coalesce(s.last, '')")
+_GLUE = f"""{_BEFORE} <> '' AND NOT starts_with({_BEFORE}, '|') AND NOT regexp_matches({_BEFORE}, '[.;:!?]$') AND (
+  (regexp_matches(e.tail, '^\\p{{Ll}}') AND (e.num OR NOT e.marker))
+  OR (s.heading AND NOT e.num AND NOT e.heading AND length(e.body) <= 120 AND NOT e.marker AND NOT regexp_matches(e.body, {_ANY_HEADER}) AND {UPPER(_BEFORE)} AND {UPPER('e.body')}))"""
+_ENDED = "s.out || coalesce(s.last || chr(10), '') || s.blank"
+
+
+@query(f"""WITH l AS (SELECT doc_id, list_transform(string_split({_sql(_OPENING)} || body, chr(10)), lambda y: regexp_replace(y, '[\\s\\x{{A0}}]+$', '')) AS ls FROM ({_BODIES})),
+p AS (SELECT doc_id, list_transform(ls, lambda y: {{'out': '', 'last': nullif(y, ''), 'blank': CASE WHEN y = '' THEN chr(10) ELSE '' END, 'heading': regexp_matches(y, '^#{{2,6}} '), 'body': {_PLAIN('y')}, 'num': {_NUMBERED(_PLAIN('y'))},
+  'tail': CASE WHEN {_NUMBERED(_PLAIN('y'))} THEN regexp_replace({_PLAIN('y')}, '^(?:[IVXLCDM]{{1,6}}\\.|\\d{{1,3}}(?:\\.\\d{{1,3}}){{0,3}}\\.?)\\s+', '') ELSE {_PLAIN('y')} END, 'marker': regexp_matches({_PLAIN('y')}, {_sql(L.BLOCK_MARKER)})}}) AS x FROM l),
+r AS (SELECT doc_id, list_reduce(x, lambda s, e: CASE WHEN e.last IS NULL THEN {{'out': s.out, 'last': s.last, 'blank': s.blank || chr(10), 'heading': s.heading, {_FIELDS}}}
+  WHEN {_GLUE} THEN {{'out': s.out, 'last': s.last || ' ' || e.body, 'blank': '', 'heading': s.heading, {_FIELDS}}}
+  ELSE {{'out': {_ENDED}, 'last': e.last, 'blank': '', 'heading': e.heading, {_FIELDS}}} END) AS s FROM p)
+SELECT doc_id, {_sql(_FRONT)} || regexp_replace({_ENDED}, '\\n$', '') AS body FROM r""")
 def cleaned_markdown(spark, sf):
-    return _headed(spark, sf).select("doc_id", lines.clean_markdown("body").alias("body"))
+    whole = F.concat(F.lit(_FRONT + _CONTENTS + _OPENING), "body")
+    return _headed(spark, sf).select("doc_id", lines.clean_markdown(whole).alias("body"))
 
 
 @query()
@@ -654,9 +695,9 @@ def changed_headings(spark, sf):
     return d.select("doc_id", sinks.changed(F.col("before"), after).alias("changed"), after.alias("line"))
 
 
-@query()
+@query("WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, string_split('текст' || chr(10) || regexp_replace(coalesce(text, ''), '\\n$', ''), chr(10)) AS x FROM documents) SELECT doc_id, '--- before' || chr(10) || '+++ after' || chr(10) || '@@ -1,' || least(4, len(x) + 1) || ' +1,' || least(4, len(x) + 1) || ' @@' || chr(10) || '-## ' || lang || chr(10) || '+' || lang || chr(10) || ' ' || array_to_string(x[1:3], chr(10) || ' ') AS diff FROM t")
 def heading_diffs(spark, sf):
-    d = _read(spark, sf, "documents").select("doc_id", F.concat(F.lit("## "), F.coalesce("lang", F.lit("")), F.lit("\nтекст")).alias("before"))
+    d = _read(spark, sf, "documents").select("doc_id", F.concat(F.lit("## "), F.coalesce("lang", F.lit("")), F.lit("\nтекст\n"), F.coalesce("text", F.lit(""))).alias("before"))
     return d.select("doc_id", sinks.unified_diff("before", lines.plain_heading("before")).alias("diff"))
 
 
