@@ -577,7 +577,28 @@ def cleaned_markdown(spark, sf):
     return _headed(spark, sf).select("doc_id", lines.clean_markdown(whole).alias("body"))
 
 
-@query()
+_RE = lambda c, p, fold=True: f"regexp_matches({c}, {_sql(('(?i)' if fold else '') + X.to_re2(p))})"
+_DIGITS = lambda c: f"length(regexp_replace({c}, '[^\\p{{Nd}}]', '', 'g'))"
+_TRANSIENT = lambda c: " OR ".join([
+    _RE(c, L.DOT_LEADER, False), f"list_contains({_list(L.HEADER_FILLERS[:2])}, lower({c}))", _RE(c, L.NUMBER_SIGN, False), _RE(c, L.ISSUER_LINE),
+    f"(length({c}) <= 60 AND list_has_any(regexp_extract_all(lower({c}), '[а-яіїєґ]+'), {_list(L.HEADER_FILLERS[:2])}) AND {_DIGITS(c)} >= 2)",
+    f"({_DIGITS(c)} >= 4 AND length(regexp_replace({c}, '[^\\p{{L}}]', '', 'g')) <= 2)",
+    _RE(c, rf"\d{{1,2}}\s+({'|'.join(L.MONTHS)})\s+\d{{4}}"), _RE(c, rf"(?:^|[^{W}])\d{{2}}[./]\d{{2}}[./]\d{{4}}(?:$|[^{W}])", False),
+])
+_STOP = lambda c: f"({_RE(c, L.TITLE_STOP)} OR {_RE(c, L.BODY_SECTION_START, False)})"
+_COVER = f"{_sql(L.APPROVAL_WORD)} || chr(10) || 'Наказ Державного університету' || chr(10) || upper(title) || chr(10) || chr(10) || text"
+_OPENER = f"y <> '' AND {UPPER('y')} AND y <> {_sql(L.GENERAL_PROVISIONS)} AND list_has_any(regexp_split_to_array(y, '\\s+')[1:2], {_list(list(L.ANCHOR_STEMS))})"
+_CANDIDATE = f"length(y) >= 8 AND NOT {UPPER('y')} AND regexp_matches(y, '\\p{{L}}') AND NOT ({_TRANSIENT('y')}) AND NOT {_RE('y', L.INSTITUTION_ONLY)} AND NOT {_STOP('y')} AND NOT {_RE('y', '|'.join(f'(?:{p})' for p in L.RUNNING_HEADERS))}"
+
+
+@query(f"""WITH c AS (SELECT doc_id, string_split(({_COVER})[1:600], chr(10)) AS ls FROM ({TITLE_ROWS})),
+l AS (SELECT doc_id, unnest(range(len(ls)))::INT AS i, {STRIP('unnest(ls)')} AS y FROM c),
+k AS (SELECT doc_id, i, y, {_OPENER} AS opens, {_CANDIDATE} AS plain, {_STOP('y')} AS stop, {_TRANSIENT('y')} AS noise, {_RE('y', L.INSTITUTION_ONLY)} AS own FROM l),
+f AS (SELECT doc_id, coalesce(min(i) FILTER (opens), min(i) FILTER (plain)) AS first, count(*) FILTER (opens) > 0 AS anchored FROM k GROUP BY doc_id),
+w AS (SELECT k.*, first, min(i) FILTER (NOT stop AND y <> '' AND NOT own AND NOT noise) OVER (PARTITION BY doc_id) AS began FROM k JOIN f USING (doc_id) WHERE i BETWEEN first + 1 AND first + 16),
+e AS (SELECT doc_id, min(i) FILTER (stop OR (y = '' AND i > began)) AS ends FROM w GROUP BY doc_id),
+g AS (SELECT w.doc_id, string_agg(y, ' ' ORDER BY i) AS more FROM w JOIN e USING (doc_id) WHERE (ends IS NULL OR i < ends) AND y <> '' AND NOT noise AND NOT (own AND i < began) GROUP BY w.doc_id)
+SELECT f.doc_id, coalesce((CASE WHEN anchored THEN y ELSE y[1:200] END || coalesce(' ' || more, ''))[1:300], '') AS title FROM f LEFT JOIN k ON k.doc_id = f.doc_id AND i = first LEFT JOIN g ON g.doc_id = f.doc_id""")
 def guessed_titles(spark, sf):
     cover = F.concat(F.lit(f"{L.APPROVAL_WORD}\nНаказ Державного університету\n"), F.upper(_pick(TITLES, "doc_id")), F.lit("\n\n"), F.col("text"))
     return _read(spark, sf, "documents").select("doc_id", metadata.title(cover).alias("title"))
