@@ -13,6 +13,7 @@ from quillspark.functions import text as X
 from quillspark.operators import catalog, classify, lines, links, metadata, pairs, sections, similarity, vectors
 from quillspark.plans import rag
 from quillspark.sources import sinks, wiki
+from quillspark.workspace import scratch
 
 TITLES = [
     "Положення про Вчену раду факультету інформаційних технологій", "Положення про Вчену раду факультету гірничої справи", "Кодекс академічної доброчесності університету",
@@ -781,3 +782,50 @@ def pair_reports(spark, sf):
     similarity = F.lit(0.9) + F.col("n_nationkey") / F.lit(1000.0)
     sides = ("n_name", "path", F.col("n_nationkey").cast("string"), "x", "r_name", "r_name", "r_name", "y")
     return _sides(spark, sf).select("n_nationkey", sinks.pair_report(*sides, similarity).alias("candidate"), sinks.pair_report(*sides, similarity, F.lit(L.VERDICTS["unsure"]), "r_name").alias("listed"))
+
+
+# ---- what is stored and read back
+
+
+@query("SELECT vec_id, (i - 1)::INT AS place, round(embedding[i]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS value FROM embeddings, range(1, 5000) r(i) WHERE i <= len(embedding)")
+def unit_vectors(spark, sf):
+    return _read(spark, sf, "embeddings").select("vec_id", F.posexplode(vectors.normalise("embedding")).alias("place", "value")).withColumn("value", F.round("value", 6))
+
+
+def _records(spark, sf):
+    """Documents as chunks, some of their metadata null or empty."""
+    d = _read(spark, sf, "documents")
+    null = F.lit(None).cast("string")
+    known = {"chunk_id": F.concat(F.col("doc_id"), F.lit("::0")), "doc_id": F.col("doc_id").cast("string"), "category": F.col("lang"), "status": F.when(F.col("doc_id") % 3 == 0, F.col("source")).when(F.col("doc_id") % 3 == 1, F.lit("")), "section_path": F.when(F.col("doc_id") % 2 == 0, F.col("source")), "text": F.coalesce("text", F.lit("")), "chunk_index": F.lit(0)}
+    return d.select(*[known.get(f.name, null).alias(f.name) for f in wiki.CHUNKS])
+
+
+_STATUS, _PATH = "CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN '' END", "CASE WHEN doc_id % 2 = 0 THEN source END"
+
+
+@query(f"SELECT doc_id || '::0' AS chunk_id, lang AS category, {_STATUS} AS status, {_PATH} AS section_path, NULL::VARCHAR AS title, coalesce(text, '') AS text FROM documents")
+def stored_chunks(spark, sf):
+    path = scratch(spark, "chunks")
+    sinks.write_chunks(_records(spark, sf), path)
+    return wiki.read_chunks(spark, path).select("chunk_id", "category", "status", "section_path", "title", "text")
+
+
+@query(f"SELECT doc_id || '::0' AS chunk_id, 2::INT AS n_dims, (doc_id % 7)::DOUBLE AS second, '' AS title, lang AS category, coalesce(nullif({_STATUS}, ''), '{L.UNKNOWN_STATUS}') AS status, coalesce({_PATH}, '') AS section_path, coalesce(text, '') AS document FROM documents")
+def stored_vectors(spark, sf):
+    path = scratch(spark, "vectors")
+    sinks.write_vectors(_records(spark, sf).withColumn("embedding", F.array(F.lit(0.5), F.pmod(F.col("doc_id").cast("long"), F.lit(7))).cast("array<float>")), path)
+    return wiki.read_vectors(spark, path).select("chunk_id", F.size("embedding").alias("n_dims"), F.col("embedding")[1].cast("double").alias("second"), "title", "category", "status", "section_path", "document")
+
+
+@query("SELECT doc_id, 'а: б' || chr(10) AS front, coalesce(text, '') AS body FROM documents")
+def front_matter_with_crlf(spark, sf):
+    crlf = F.replace(F.concat(F.lit("---\nа: б\n---\n"), F.coalesce("text", F.lit(""))), F.lit("\n"), F.lit("\r\n"))
+    return wiki.split_front_matter(_read(spark, sf, "documents").select("doc_id", crlf.alias("text"))).select("doc_id", "front", "body")
+
+
+@query(f"SELECT doc_id, count(*) AS n_lines, count(*) FILTER ({_TRANSIENT('y')}) AS n_noise FROM (SELECT doc_id, {STRIP('line')} AS y FROM (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '\\n$', '') || chr(10) || 'Екземпляр № ' || doc_id || chr(10) || doc_id || chr(10) || lang || ' 0' || (doc_id % 9) || '.12.2024', chr(10))) AS line FROM documents)) GROUP BY doc_id")
+def transient_lines(spark, sf):
+    n = F.col("doc_id").cast("string")
+    text = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"\n\z", ""), F.lit("\nЕкземпляр № "), n, F.lit("\n"), n, F.lit("\n"), F.col("lang"), F.lit(" 0"), F.pmod("doc_id", F.lit(9)), F.lit(".12.2024"))
+    found = lines.explode_lines(_read(spark, sf, "documents").select("doc_id", text.alias("text")), "text", ["doc_id"])
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(metadata.is_transient_noise(X.strip("line"))).alias("n_noise"))

@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import lines, similarity
+from quillspark.operators import lines, similarity, vectors
 
 PARTS = [
     "", "  ", "\t", "## ЗАГАЛЬНІ ПОЛОЖЕННЯ", "ПРО ПОРЯДОК", "кінець речення.", "продовження тексту", "1.2. пункт малий", "1. Пункт", "| а | б |", "- пункт", "### 3. НАЗВА",
@@ -84,3 +84,17 @@ def test_edges_against_all_pairs(spark):
                     want[a, b, round(sim, 6)] += 1
         assert Counter((e["src"], e["dst"], round(e["sim"], 6)) for e in similarity.cosine_edges(weights, threshold).collect()) == want
     assert similarity.cosine_edges(weights.limit(0)).count() == 0
+
+
+def test_nearest_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 20)
+    r = random.Random(9)
+    rows = [(i, [r.choice([0.0, 0.5, 1.0]) for _ in range(3)]) for i in r.sample(range(1000), 150)]  # few values, so many ties
+    df = spark.createDataFrame([*rows, (2000, None), (None, [1.0, 0.0, 0.0])], "vec_id long, embedding array<float>").repartition(3)
+    for k in (1, 7, 200):
+        want = Counter()
+        for a, x in rows:
+            near = sorted((-round(sum(p * q for p, q in zip(x, y)), 6), b) for b, y in rows)[:k]
+            want.update((a, b, -s + 0.0, n) for n, (s, b) in enumerate(near, 1))
+        assert Counter((e["a"], e["b"], e["similarity"] + 0.0, e["rank"]) for e in vectors.knn_join(df, k).collect()) == want
+    assert vectors.knn_join(df.limit(0), 3).count() == 0
