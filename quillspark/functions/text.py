@@ -46,6 +46,11 @@ def letter_ratio(x: Column | str) -> Column:
     return share(letters(s), F.length(s))
 
 
+def bare_length(x: Column | str) -> Column:
+    """Characters left after blanks, line ends and no-break spaces are cut from both ends; null of null."""
+    return F.length(F.btrim(col(x), F.lit(" \t\n\f\r\u00a0")))
+
+
 def is_page_broken(x: Column | str) -> Column:
     """Blank, under 40 characters, or under three tenths letters, all after stripping; null counts as blank."""
     s = strip(F.coalesce(col(x), F.lit("")))

@@ -35,3 +35,24 @@ def test_query(name, spark, sf, duck):
     want = duck.sql(ORACLES[name])
     assert sorted(want.columns) == columns
     assert rows == Counter(repr([plain(dict(zip(want.columns, r))[c]) for c in columns]) for r in want.fetchall())
+
+
+#: Texts that are null, blank, long without letters, about 40 characters long, or that end in blanks which engines tell apart.
+ODD_TEXTS = [None, "", " \u00a0\n", "12 345 " * 40, "1|2 " * 40, "|" * 39, "|" * 40, "а" * 39 + " \n", "а" * 40 + " \n", "а" * 39 + "\x0b", "а" * 39 + " \u2028", "а" * 38 + " \u2029 ", "\x85" + "а" * 38, "\f\u00a0|" + "а" * 37 + "\x1c"]
+
+
+def against_sql(name, spark, tmp_path, rows, columns="doc_id long, text string, lang string, source string, n_chars long"):
+    """The query and its SQL over documents of (doc_id, text)."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    spark.createDataFrame([(*r, *[None] * (len(names) - len(r))) for r in rows], columns).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(ORACLES[name])
+    got = Counter(repr([plain(r[c]) for c in want.columns]) for r in df.collect())
+    assert got == Counter(repr([plain(v) for v in r]) for r in want.fetchall())
+    return got
+
+
+def test_text_routing_of_odd_texts(spark, tmp_path):
+    against_sql("text_routing", spark, tmp_path, list(enumerate(ODD_TEXTS)))
