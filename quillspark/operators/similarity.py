@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions.text import col
+from quillspark.operators import allpairs
 from quillspark.operators.graph import connected_components
 from quillspark.workspace import materialize
 
@@ -14,11 +15,16 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(col(text)), r"[^\p{L}\p{N}_]+", -1), lambda t: F.rlike(t, F.lit(r"^\p{L}{4,}$")))
 
 
+def _terms() -> Column:
+    """Words and pairs of neighbours among them, of the column t."""
+    pairs = F.transform(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get("t", i + 1)))
+    return F.concat("t", pairs)
+
+
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, term, tf): words and pairs of neighbours among them. Tokens are a column of their own, made once per row."""
     rows = docs.select(F.col(key).alias("id"), tokens(text).alias("t"))
-    pairs = F.transform(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get("t", i + 1)))
-    return rows.select("id", F.explode(F.concat("t", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return rows.select("id", F.explode(_terms()).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(counts: DataFrame, n_docs: Column | int, min_df: int = 2, max_df: float = 0.15) -> DataFrame:
@@ -41,25 +47,23 @@ def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", min_df: int
 
 
 def cosine_edges(weights: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """(src, dst, sim) with src < dst, of the rows of tfidf(): all pairs that share a term and have that similarity or more.
-
-    Terms have one order, rarest first. Two documents meet at a common term only if the norms of what each has from that term on multiply to
-    two thirds of the threshold or more; so what meets leave out adds up to less than that (Cauchy-Schwarz), and only pairs whose meets add up to the other
-    third are compared in full. Common terms, where most pairs meet, come last and hardly ever count. A hash that two terms share adds a candidate, no more.
-    """
-    cut, slack = threshold * 2 / 3, 1e-6
-    onward = Window.partitionBy("id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
-    square = F.col("weight") * F.col("weight")
-    kept = materialize(weights.where("id IS NOT NULL").select("id", "term", "weight", F.xxhash64("term").alias("h"), F.sqrt(F.sum(square).over(onward)).alias("norm")), "weights")
-    low = kept.where(F.col("norm") >= cut - slack).drop("term")
-    a, b = low.alias("a"), low.alias("b")
-    meets = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.norm") * F.col("b.norm") >= cut - slack))
-    dot = F.sum(F.col("a.weight") * F.col("b.weight"))
-    found = meets.groupBy(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).agg(dot.alias("part")).where(F.col("part") >= threshold - cut - slack)
-    found = materialize(found.select("src", "dst"), "candidates")
-    ours, theirs = kept.select(F.col("id").alias("src"), "h", "term", "weight"), kept.select(F.col("id").alias("dst"), "h", "term", F.col("weight").alias("other"))
-    sims = found.join(ours, "src").join(theirs, ["dst", "h", "term"]).groupBy("src", "dst").agg(F.sum(F.col("weight") * F.col("other")).alias("sim"))
-    return sims.where(F.round("sim", 9) >= threshold)
+    """(src, dst, sim) with src < dst, of the rows of tfidf(): all pairs that share a term and have that similarity or more."""
+    return allpairs.similar_pairs(allpairs.blocks_of_weights(weights), threshold)
+
+
+def tfidf_edges(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.2, min_df: int = 2, max_df: float = 0.15) -> DataFrame:
+    """cosine_edges(tfidf(docs)), where terms stay hashes in arrays and only their frequencies are shuffled. Rows that share a key are one document, as there."""
+    docs = _spread(docs.select(key, text))
+    if not docs.groupBy(key).count().where("count > 1").isEmpty():
+        return cosine_edges(tfidf(docs, key, text, min_df, max_df), threshold)
+    n = docs.count()
+
+    def hashed(salt: int) -> DataFrame:
+        terms = docs.select(F.col(key).alias("id"), tokens(text).alias("t")).select("id", _terms().alias("terms"))
+        name = lambda f: F.transform("terms", lambda x: f(x, F.lit(salt)))
+        return terms.select("id", name(F.xxhash64).alias("h"), name(F.hash).alias("c"))
+
+    return allpairs.similar_pairs(allpairs.blocks_of_terms(hashed, docs.schema[key].dataType, n, min_df, max_df), threshold, n)
 
 
 def clusters(edges: DataFrame) -> DataFrame:
@@ -70,5 +74,5 @@ def clusters(edges: DataFrame) -> DataFrame:
 
 
 def best_edges(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("src").alias("node"), "sim").unionByName(edges.select(F.col("dst").alias("node"), "sim"))
+    both = edges.select(F.explode(F.array("src", "dst")).alias("node"), "sim")  # a union would find the edges twice
     return both.groupBy("node").agg(F.max("sim").alias("best"))

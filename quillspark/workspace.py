@@ -35,11 +35,11 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and return a frame that reads it."""
+def materialize(df: DataFrame, label: str, rows_per_file: int = 0) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and return a frame that reads it. Large rows are best few to a file."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillspark_path = path
     return out
