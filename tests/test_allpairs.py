@@ -95,3 +95,9 @@ def test_what_pairs_have_in_common_is_not_written(name, spark, tmp_path):
     QUERIES[name](spark, str(tmp_path)).collect()
     written = {p: size(p) for p in workspace.tables() - before}
     assert written and sum(written.values()) < 2 * read, (written, read)
+
+
+def test_best_edges_finds_edges_once(spark, tmp_path):
+    spark.createDataFrame(odd_documents(), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["best_edge"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
