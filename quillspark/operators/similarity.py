@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quillspark.functions.text import col
 from quillspark.operators import allpairs
@@ -51,24 +51,79 @@ def cosine_edges(weights: DataFrame, threshold: float = 0.2) -> DataFrame:
     return allpairs.similar_pairs(allpairs.blocks_of_weights(weights), threshold)
 
 
+#: Classes of copies that are broadcast at most; more are joined by a shuffle of the texts.
+_CLASSES = 500_000
+
+
+def _hashed(docs: DataFrame, key: str, text: str, *others: str):
+    def hashed(salt: int) -> DataFrame:
+        terms = docs.select(F.col(key).alias("id"), tokens(text).alias("t"), *others).select("id", _terms().alias("terms"), *others)
+        name = lambda f: F.transform("terms", lambda x: f(x, F.lit(salt)))
+        return terms.select("id", name(F.xxhash64).alias("h"), name(F.hash).alias("c"), *others)
+
+    return hashed
+
+
+def _repeats(docs: DataFrame, key: str) -> bool:
+    return not docs.groupBy(key).count().where("count > 1").isEmpty()
+
+
 def tfidf_edges(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.2, min_df: int = 2, max_df: float = 0.15) -> DataFrame:
     """cosine_edges(tfidf(docs)), where terms stay hashes in arrays and only their frequencies are shuffled. Rows that share a key are one document, as there."""
     docs = _spread(docs.select(key, text))
-    if not docs.groupBy(key).count().where("count > 1").isEmpty():
+    if _repeats(docs, key):
         return cosine_edges(tfidf(docs, key, text, min_df, max_df), threshold)
     n = docs.count()
+    return allpairs.similar_pairs(allpairs.blocks_of_terms(_hashed(docs, key, text), docs.schema[key].dataType, n, min_df, max_df), threshold, n)
 
-    def hashed(salt: int) -> DataFrame:
-        terms = docs.select(F.col(key).alias("id"), tokens(text).alias("t")).select("id", _terms().alias("terms"))
-        name = lambda f: F.transform("terms", lambda x: f(x, F.lit(salt)))
-        return terms.select("id", name(F.xxhash64).alias("h"), name(F.hash).alias("c"))
 
-    return allpairs.similar_pairs(allpairs.blocks_of_terms(hashed, docs.schema[key].dataType, n, min_df, max_df), threshold, n)
+def _one_of_each(docs: DataFrame, key: str, text: str, min_df: int, max_df: float) -> tuple[DataFrame, int, DataFrame]:
+    """Blocks of the vectors of different texts; n; (node, member) of texts that occur more than once, where node is the least key.
+
+    Copies are found by 128 bits of hashes, so texts are not shuffled for it. A text counts for all its copies where frequencies are counted.
+    """
+    docs = _spread(docs.select(key, text))
+    kind = docs.schema[key].dataType
+    spark = docs.sparkSession
+    if _repeats(docs, key):
+        return allpairs.blocks_of_weights(tfidf(docs, key, text, min_df, max_df)), 0, spark.createDataFrame([], T.StructType([T.StructField("node", kind), T.StructField("member", kind)]))
+    n = docs.count()
+    named = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    classes = materialize(named.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("m")).where("m > 1"), "classes")
+    few = classes.count() <= _CLASSES
+    small = F.broadcast(classes) if few else classes
+    members = materialize(named.select("id", "h1", "h2").join(small, ["h1", "h2"]).select("node", F.col("id").alias("member")), "copies")
+    nameless = docs.where(F.col(key).isNull()).select(F.col(key).alias("id"), F.col(text).alias("text"), F.lit(1).cast("long").alias("m"))
+    first = named.join(small, ["h1", "h2"], "left").where("node IS NULL OR node = id").select("id", "text", F.coalesce("m", F.lit(1)).alias("m"))
+    blocks = allpairs.blocks_of_terms(_hashed(first.unionByName(nameless), "id", "text", "m"), kind, n, min_df, max_df)
+    del docs, named, nameless, first
+    allpairs.sweep(spark)
+    return blocks, n, members
+
+
+def tfidf_best(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.2, min_df: int = 2, max_df: float = 0.15) -> DataFrame:
+    """best_edges(tfidf_edges(docs)), of different texts only and without writing edges. A text that occurs more than once has itself at similarity 1."""
+    blocks, n, members = _one_of_each(docs, key, text, min_df, max_df)
+    copied = materialize(members.join(allpairs.vectors(blocks), "node").select(F.col("member").alias("node"), F.lit(1.0).alias("best")), "copied")
+    return allpairs.best_similarity(blocks, threshold, n).unionByName(copied).groupBy("node").agg(F.max("best").alias("best"))
+
+
+def tfidf_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.2, min_df: int = 2, max_df: float = 0.15) -> DataFrame:
+    """clusters(tfidf_edges(docs)), of different texts only; tasks pass on spanning forests."""
+    blocks, n, members = _one_of_each(docs, key, text, min_df, max_df)
+    copied = materialize(members.join(allpairs.vectors(blocks), "node").where("node <> member"), "copied")
+    parts = connected_components(allpairs.spanning_links(blocks, threshold, n))
+    own = copied.join(parts, "node", "left").select("member", F.coalesce("component", "node").alias("component"), "node")
+    alone = own.where("component = node").select("node", "component").distinct()  # those of parts that are a component's least are among them
+    return _sized(parts.unionByName(alone).distinct().unionByName(own.select(F.col("member").alias("node"), "component")))
 
 
 def clusters(edges: DataFrame) -> DataFrame:
     """(cluster, size, member): components of two and more."""
-    parts = connected_components(edges)
+    return _sized(connected_components(edges))
+
+
+def _sized(parts: DataFrame) -> DataFrame:
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
     return parts.join(sizes, "component").select(F.col("component").alias("cluster"), "size", F.col("node").alias("member")).orderBy(F.desc("size"), "cluster", "member")
 

@@ -101,3 +101,73 @@ def test_best_edges_finds_edges_once(spark, tmp_path):
     spark.createDataFrame(odd_documents(), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     plan = QUERIES["best_edge"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def copied_documents():
+    """Different texts that are nearly one, copies of them and of odd ones; the least key of a text isn't its first."""
+    near = [f"{' '.join(WORDS[:20])} {w} {v}" for w, v in zip(WORDS[20:80], WORDS[21:81])]
+    texts = [*near, *[t for _, t in odd_documents()]]
+    return [(1000 * (5 - k) + i, t) for k in range(5) for i, t in enumerate(texts)] + [(7, "щастя щогла"), (6, "щастя щогла"), (8, "щука"), (None, near[0])]
+
+
+@pytest.mark.parametrize("name", ["best_edge"])
+def test_copies_are_compared_once(name, spark, tmp_path):
+    before = workspace.tables()
+    assert against_sql(name, spark, tmp_path, copied_documents())
+    held = [p for p in workspace.tables() - before if "-blocks-" in p]
+    compared = spark.read.parquet(*held).select(F.explode("ids").alias("id")).collect()
+    assert len(compared) == len({t for _, t in copied_documents()})
+
+
+def test_best_similarity_passes_on_a_row_per_document_and_task(spark, tmp_path, monkeypatch):
+    """Pairs of a group of like texts are not rows of the shuffle: 60 texts, 1,770 pairs."""
+    spark.createDataFrame(copied_documents()[:60], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(similarity, "_spread", lambda docs: docs)
+    blocks, n, _ = similarity._one_of_each(docs, "doc_id", "text", 2, 1.0)
+    met = allpairs._met(blocks, True)
+    sent = met.mapInArrow(allpairs._best(0.2, n), "node long, best double").count()
+    assert 60 <= sent <= 60 * met.rdd.getNumPartitions()
+    assert allpairs.similar_pairs(blocks, 0.2, n).count() == 1770
+
+
+@pytest.mark.parametrize("docs", [5, 2048])
+def test_folds_of_many_blocks_against_pairs(docs, monkeypatch):
+    """The best of each document and the components, over blocks that meet in one task, against all pairs of them."""
+    monkeypatch.setattr(allpairs, "DOCS", docs)
+    monkeypatch.setattr(allpairs, "_rows", lambda found, kind: found)
+    texts = [t.split() for t in bags(11, 60)]
+    term = {w: i for i, w in enumerate(WORDS)}
+    df = Counter(w for t in texts for w in set(t))
+    rows = [sorted(Counter(t).items()) for t in texts]
+    weights = [[c / math.sqrt(sum(x * x for _, x in r)) for _, c in r] for r in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([[term[w] for w, _ in r] for r in rows]), pa.array([[df[w] for w, _ in r] for r in rows]), pa.array(weights)], names=["id", "term", "df", "weight"])
+    blocks = list(allpairs._pack(iter([batch])))
+    columns = ["ids", *allpairs._FIELDS]
+
+    def met():
+        for i, a in enumerate(blocks):
+            for j, b in enumerate(blocks[i:], i):
+                cells = {"a_block": pa.array([i]), "b_block": pa.array([j])}
+                for side, x in (("a", a), ("b", b)):
+                    cells |= {f"{side}_{c}": pa.array([x[c].to_pylist()], pa.list_(pa.int64())) if c == "ids" else pa.array([x[c]], pa.binary()) for c in columns}
+                yield pa.RecordBatch.from_arrays(list(cells.values()), names=list(cells))
+
+    rows_of = lambda fold: [tuple(r.values()) for b in fold(0.3, 0)(met()) for r in b.to_pylist()]
+    pairs, best, links = rows_of(allpairs._compare), rows_of(allpairs._best), rows_of(allpairs._links)
+    want = {}
+    for x, y, sim in pairs:
+        if round(sim, 9) >= 0.3:
+            want[x], want[y] = max(sim, want.get(x, 0)), max(sim, want.get(y, 0))
+    assert {k: round(v, 9) for k, v in best} == {k: round(v, 9) for k, v in want.items()} and len(best) == len(want)
+
+    def components(edges):
+        up = {}
+        root = lambda x: x if up.setdefault(x, x) == x else root(up[x])
+        for x, y in edges:
+            x, y = sorted((root(x), root(y)))
+            up[y] = x
+        return {x: root(x) for x in up}
+
+    assert components(links) == components([(x, y) for x, y, s in pairs if round(s, 9) >= 0.3])
+    assert len(links) == len(want) - len(set(components(links).values()))
