@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from quillspark.functions.text import col
 from quillspark.operators import allpairs
 from quillspark.operators.graph import connected_components
+from quillspark.operators.terms import Terms, character_classes
 from quillspark.workspace import materialize
 
 
@@ -55,13 +56,14 @@ def cosine_edges(weights: DataFrame, threshold: float = 0.2) -> DataFrame:
 _CLASSES = 500_000
 
 
-def _hashed(docs: DataFrame, key: str, text: str, *others: str):
-    def hashed(salt: int) -> DataFrame:
-        terms = docs.select(F.col(key).alias("id"), tokens(text).alias("t"), *others).select("id", _terms().alias("terms"), *others)
-        name = lambda f: F.transform("terms", lambda x: f(x, F.lit(salt)))
-        return terms.select("id", name(F.xxhash64).alias("h"), name(F.hash).alias("c"), *others)
+def _named(docs: DataFrame, key: str, text: str, *others: str):
+    """For allpairs.blocks_of_terms(): texts, and what names their terms. Tokens never are strings of their own."""
 
-    return hashed
+    def named(salt: int) -> tuple[DataFrame, Terms]:
+        rows = docs.select(F.col(key).alias("id"), F.lower(F.col(text)).alias("text"), *others)
+        return rows, Terms(character_classes(docs.sparkSession), salt)
+
+    return named
 
 
 def _repeats(docs: DataFrame, key: str) -> bool:
@@ -74,7 +76,7 @@ def tfidf_edges(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     if _repeats(docs, key):
         return cosine_edges(tfidf(docs, key, text, min_df, max_df), threshold)
     n = docs.count()
-    return allpairs.similar_pairs(allpairs.blocks_of_terms(_hashed(docs, key, text), docs.schema[key].dataType, n, min_df, max_df), threshold, n)
+    return allpairs.similar_pairs(allpairs.blocks_of_terms(_named(docs, key, text), docs.schema[key].dataType, n, min_df, max_df), threshold, n)
 
 
 def _one_of_each(docs: DataFrame, key: str, text: str, min_df: int, max_df: float) -> tuple[DataFrame, int, DataFrame]:
@@ -95,7 +97,7 @@ def _one_of_each(docs: DataFrame, key: str, text: str, min_df: int, max_df: floa
     members = materialize(named.select("id", "h1", "h2").join(small, ["h1", "h2"]).select("node", F.col("id").alias("member")), "copies")
     nameless = docs.where(F.col(key).isNull()).select(F.col(key).alias("id"), F.col(text).alias("text"), F.lit(1).cast("long").alias("m"))
     first = named.join(small, ["h1", "h2"], "left").where("node IS NULL OR node = id").select("id", "text", F.coalesce("m", F.lit(1)).alias("m"))
-    blocks = allpairs.blocks_of_terms(_hashed(first.unionByName(nameless), "id", "text", "m"), kind, n, min_df, max_df)
+    blocks = allpairs.blocks_of_terms(_named(first.unionByName(nameless), "id", "text", "m"), kind, n, min_df, max_df)
     del docs, named, nameless, first
     allpairs.sweep(spark)
     return blocks, n, members
